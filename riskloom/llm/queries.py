@@ -6,11 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
+from riskloom.llm.bpe import op2_bpe
+from riskloom.llm.decontam import op9_decontamination
 from riskloom.llm.lm_scoring import op1_lm_scoring
+from riskloom.llm.quality import op7_quality
+from riskloom.llm.simhash import op3_simhash
+from riskloom.llm.toxicity import op6_toxicity
+
+QUERIES = (op1_lm_scoring, op2_bpe, op3_simhash, op6_toxicity, op7_quality, op9_decontamination)
 
 
 def queries() -> dict[str, Callable[..., DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_scoring,)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
