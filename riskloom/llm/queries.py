@@ -6,14 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
+from riskloom.llm.ann import op10_nearest
 from riskloom.llm.bpe import op2_bpe
+from riskloom.llm.chat import op5_chat
 from riskloom.llm.decontam import op9_decontamination
 from riskloom.llm.lm_scoring import op1_lm_scoring
 from riskloom.llm.quality import op7_quality
 from riskloom.llm.simhash import op3_simhash
 from riskloom.llm.toxicity import op6_toxicity
+from riskloom.llm.url_rules import op4_url_filters
+from riskloom.llm.warc import op8_warc
 
-QUERIES = (op1_lm_scoring, op2_bpe, op3_simhash, op6_toxicity, op7_quality, op9_decontamination)
+QUERIES = (
+    op1_lm_scoring, op2_bpe, op3_simhash, op4_url_filters, op5_chat,
+    op6_toxicity, op7_quality, op8_warc, op9_decontamination, op10_nearest,
+)
 
 
 def queries() -> dict[str, Callable[..., DataFrame]]:
