@@ -1,0 +1 @@
+"""Column builders: scalar cleaning, times, arrays and aggregates."""

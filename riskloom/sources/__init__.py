@@ -1 +1 @@
-"""Readers, writers and the session settings that the library relies on."""
+"""Readers, writers, and the places for tables between jobs."""

@@ -1,0 +1 @@
+"""The batch operators that also make sense on streams."""
