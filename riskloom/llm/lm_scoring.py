@@ -42,8 +42,8 @@ from riskloom.sources.storage import materialise
 DEPTH = 5
 TAIL = DEPTH - 1
 END = b"\n"
-BLOCK_BYTES = 12_000_000
-TABLE_CELLS = 1 << 26
+BLOCK_BYTES = 9_000_000
+TABLE_CELLS = 1 << 25
 
 _ENCODED = "kind string, block long, part int, first binary, second binary, third binary"
 _DOC = np.dtype([("id", "<i8"), ("null", "i1"), ("held", "i1"), ("tokens", "<i8"), ("bytes", "<i8")])
@@ -399,14 +399,14 @@ def _probability_replies(pdf: pd.DataFrame, upper: list) -> pd.DataFrame:
     keys, weights, inverse = _gathered(pdf)
     p = (Subtrees(keys, weights, DEPTH, 2).log_probability(upper) / np.log(10))[inverse]
     ends = np.cumsum([len(_unpack(x, "<u8")) for x in pdf["first"]])
-    parts = [x.astype("<f8").tobytes() for x in np.split(p, ends[:-1])]
+    parts = [x.astype("<f4").tobytes() for x in np.split(p, ends[:-1])]
     return pd.DataFrame({"block": pdf["block"], "kind": "keys", "part": pdf["part"], "value": parts})
 
 
 def _documents(docs: pd.DataFrame, replies: pd.DataFrame, tokens: int, distinct: int, trees: int) -> pd.DataFrame:
     replies = replies.sort_values("part")
     count = np.concatenate([_unpack(x, "<i8") for x in replies["value"][replies["kind"] == "words"]])
-    logs = np.concatenate([np.frombuffer(x, "<f8") for x in replies["value"][replies["kind"] == "keys"]])
+    logs = np.concatenate([np.frombuffer(x, "<f4") for x in replies["value"][replies["kind"] == "keys"]]).astype(float)
     rows, ids = np.frombuffer(docs["third"].iloc[0], _DOC), _unpack(docs["second"].iloc[0], "<i4").astype(np.int64)
     starts = np.cumsum(rows["tokens"]) - rows["tokens"]
     score = Block(_words(docs["first"].iloc[0]), ids, starts, trees).token_sums(logs)
