@@ -20,6 +20,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_type
 
 from riskloom.llm.common import table
 
@@ -276,9 +278,10 @@ def as_text(data: bytes | None) -> str:
     return (data or b"").decode("utf-8", "replace")
 
 
-def _mapped(docs: DataFrame, tokenizer: TokenizerFile, id_col: str, text_col: str, schema: str, values: Callable[[Encoder, str], tuple]) -> DataFrame:
+def _mapped(docs: DataFrame, tokenizer: TokenizerFile, id_col: str, text_col: str, columns: dict[str, pa.DataType], values: Callable[[Encoder, str], tuple]) -> DataFrame:
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
     sent = docs.sparkSession.sparkContext.broadcast(tokenizer)
+    schema = T.StructType([rows.schema["doc_id"], *(T.StructField(c, from_arrow_type(t)) for c, t in columns.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = sent.value.encoder()
@@ -286,11 +289,10 @@ def _mapped(docs: DataFrame, tokenizer: TokenizerFile, id_col: str, text_col: st
             ids, texts = batch.column(0), batch.column(1)
             for at in range(0, len(texts), 256):
                 out = [values(encoder, as_text(t)) for t in texts.slice(at, 256).to_pylist()]
-                yield pa.RecordBatch.from_arrays([ids.slice(at, 256), *(pa.array(c) for c in zip(*out, strict=True))], names=["doc_id", *names])
+                done = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), columns.values(), strict=True)]
+                yield pa.RecordBatch.from_arrays([ids.slice(at, 256), *done], names=["doc_id", *columns])
 
-    names = [c.split()[0] for c in schema.split(",")]
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, {schema}")
+    return rows.mapInArrow(run, schema)
 
 
 def encode_documents(docs: DataFrame, tokenizer: TokenizerFile, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -300,7 +302,7 @@ def encode_documents(docs: DataFrame, tokenizer: TokenizerFile, id_col: str = "d
     columns are ignored; no rows give no rows; bytes that are not UTF-8 count
     as U+FFFD.  A narrow map: nothing is shuffled.
     """
-    return _mapped(docs, tokenizer, id_col, text_col, "ids array<int>", lambda e, t: (pa.array(e.encode(t), pa.int32()).to_pylist(),))
+    return _mapped(docs, tokenizer, id_col, text_col, {"ids": pa.list_(pa.int32())}, lambda e, t: (e.encode(t),))
 
 
 def decode_documents(encoded: DataFrame, tokenizer: TokenizerFile, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -328,7 +330,8 @@ def round_trips(docs: DataFrame, tokenizer: TokenizerFile, id_col: str = "doc_id
     """Encodes and decodes every text in one pass: doc_id, n_tokens and the
     SHA-256 of the ids (decimal, comma-joined) and of the decoded bytes.
     Cases as in ``encode_documents``."""
-    return _mapped(docs, tokenizer, id_col, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string", _digests)
+    columns = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
+    return _mapped(docs, tokenizer, id_col, text_col, columns, _digests)
 
 
 def op2_bpe(spark, sf_dir: str) -> DataFrame:

@@ -20,6 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskloom.llm.common import partitions, table
 from riskloom.llm.components import components
@@ -182,6 +183,17 @@ def link_marks(marks: DataFrame) -> DataFrame:
     )
 
 
+def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, mark), and for each mark its root and the smallest id of its component."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    marked = materialise(rows.mapInArrow(_fingerprints, "doc_id long, mark long"), "fingerprints")
+    classes = materialise(marked.groupBy("mark").agg(F.min("doc_id").alias("least")), "classes")
+    roots = components(link_marks(classes)).withColumnRenamed("node", "mark")
+    rooted = classes.join(roots, "mark", "left").select("mark", "least", F.coalesce("root", "mark").alias("root"))
+    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return marked, rooted.join(smallest, "root").select("mark", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, fingerprint (16 hex digits) and
     component_id, the smallest doc_id that links reach.
@@ -191,24 +203,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     never the smallest (a component of null ids only is null); repeated rows
     stay; other columns are ignored; no rows give no rows.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    marked = materialise(rows.mapInArrow(_fingerprints, "doc_id long, mark long"), "fingerprints")
-    classes = materialise(marked.groupBy("mark").agg(F.min("doc_id").alias("least")), "classes")
-    roots = components(link_marks(classes)).withColumnRenamed("node", "mark")
-    rooted = classes.join(roots, "mark", "left").select("mark", "least", F.coalesce("root", "mark").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(smallest, "root").select("mark", "component_id")
+    marked, named = _classes(docs, id_col, text_col)
     return marked.join(named, "mark").select(
         "doc_id", F.lpad(F.lower(F.hex("mark")), 16, "0").alias("fingerprint"), "component_id"
     )
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with all columns and one row of each component: the one with
+    the smallest id (any one, if that id repeats), or, in a component of null
+    ids only, any one."""
+    marked, named = _classes(docs, id_col, text_col)
+    first = marked.join(named, "mark").where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(id_col)).distinct()
+    kept = docs.join(first, id_col, "left_semi").dropDuplicates([id_col]).select(*docs.columns)
+    # Rows without an id are found by their fingerprint.
+    shown = "_mark"
+    while shown in docs.columns:
+        shown += "_"
+    place = docs.columns.index(text_col)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(place).to_pylist()
+            marks = np.fromiter((fingerprint(None if t is None else t.encode()) for t in texts), np.uint64, len(texts))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks.view(np.int64))], names=[*batch.schema.names, shown])
+
+    nameless = docs.where(F.col(id_col).isNull()).mapInArrow(mark, T.StructType([*docs.schema.fields, T.StructField(shown, T.LongType())]))
+    alone = named.where("component_id is null").select(F.col("mark").alias(shown), F.col("root").alias(shown + "root"))
+    return kept.unionByName(nameless.join(alone, shown).dropDuplicates([shown + "root"]).select(*docs.columns))
+
+
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def near_duplicate_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group the row with the smallest doc_id (one row, if that id repeats)."""
-    found = near_duplicates(docs)
-    first = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return one_of_each(docs)

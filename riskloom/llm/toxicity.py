@@ -2,14 +2,16 @@
 
 Fitting: token counts of toxic and other documents (a bounded sample of the
 labelled ones) give log-odds with an informative Dirichlet prior.  A word
-that the sample has seldom seen takes the log-odds of its leading letters.
+that the sample has seldom seen takes the log-odds of its leading letters,
+of the longest stem that has any.
 Tokens whose odds are not significant score zero, and every token pays a
 drift, so that the expected score of clean text is negative.
 
 Scoring: one linear scan finds all maximal scoring segments of a text.  The
 Karlin-Altschul parameters of the clean token scores turn a segment's score
-into a significance; the best segment's normalised score, an extreme value,
-is mapped to a probability by a logistic curve fitted on the same sample.
+into a significance; the sum of the highest segments' normalised scores, an
+extreme value, is mapped to a probability by a logistic curve fitted on the
+same sample.
 """
 
 from __future__ import annotations
@@ -26,8 +28,9 @@ from riskloom.llm.bpe import as_text
 from riskloom.llm.common import crc_mod, table
 from riskloom.llm.labels import FIT_DOCUMENTS, fit_sample
 
-STEM = 6
-PRIOR = 500.0
+STEMS = (6, 5, 4)
+PRIOR = 300.0
+PRIOR_SHARE = 0.1
 MIN_Z = 3.0
 MIN_TOXIC_DOCUMENTS = 3
 DRIFT = 1.0
@@ -43,9 +46,10 @@ def words_of(text: bytes | None) -> list[bytes]:
     return as_text(text).lower().encode().translate(_SEPARATORS).split()
 
 
-def stem_of(word: bytes) -> bytes:
-    """The leading letters as a token of their own (no word contains a space)."""
-    return word.decode("utf-8", "replace")[:STEM].encode() + b" "
+def stems_of(word: bytes) -> list[bytes]:
+    """The leading letters, long to short, as tokens of their own (no word contains a space)."""
+    text = word.decode("utf-8", "replace")
+    return [text[:n].encode() + b" " for n in STEMS if len(text) > n]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,7 +58,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             words = set(words_of(text))
-            counts[label].update(words | {stem_of(w) for w in words if len(w) > STEM} | {b""})
+            counts[label].update(words.union(*map(stems_of, words)) | {b""})
     tokens = list(counts[0].keys() | counts[1].keys())
     for at in range(0, len(tokens), 50_000):
         some = tokens[at : at + 50_000]
@@ -73,10 +77,8 @@ class Odds(dict):
     def __missing__(self, word: bytes) -> float:
         if len(self) > REMEMBERED:
             self.clear()
-        weight = self.weights.get(word)
-        if weight is None and len(word) > STEM:
-            weight = self.weights.get(stem_of(word))
-        self[word] = score = (weight or 0.0) - DRIFT
+        known = (self.weights.get(t) for t in (word, *stems_of(word)))
+        self[word] = score = next((w for w in known if w is not None), 0.0) - DRIFT
         return score
 
 
@@ -122,18 +124,21 @@ class ToxicityModel:
         """Chance that clean text of ``n`` words has a segment of this score."""
         return float(-np.expm1(-self.k * max(n, 1) * np.exp(-self.lam * score)))
 
-    def extreme(self, n: int, best: float) -> float:
-        """The best score in units of the extreme-value distribution; zero where chance explains it."""
-        return max(0.0, self.lam * best - np.log(max(1.0, self.k * max(n, 1)))) if best > 0 else 0.0
+    def extreme(self, n: int, scores: list[float]) -> float:
+        """The best sum of the r highest segments in units of the extreme-value
+        distribution, over all r; zero where chance explains them."""
+        if not len(scores):
+            return 0.0
+        over = self.lam * np.sort(scores)[::-1] - np.log(max(1.0, self.k * max(n, 1)))
+        return max(0.0, float((np.cumsum(over) + np.cumsum(np.log(np.arange(1, len(over) + 1)))).max()))
 
     def probability(self, x: float) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.level + self.slope * x, -30, 30))))
 
     def judge(self, text: bytes | None) -> tuple[float, list[tuple[int, int, float]]]:
         n, found = self.passages(text)
-        best = max((s for _, _, s in found), default=0.0)
         kept = [x for x in found if self.significance(x[2], n) <= SIGNIFICANT]
-        return self.probability(self.extreme(n, best)), kept
+        return self.probability(self.extreme(n, [x[2] for x in found])), kept
 
 
 def _karlin(values: np.ndarray, chances: np.ndarray) -> tuple[float, float]:
@@ -176,11 +181,12 @@ def fit(sample: DataFrame) -> ToxicityModel:
     toxic, clean = (n["toxic"], n["clean"]) if n else (0, 0)
     weights: dict[bytes, float] = {}
     if toxic and clean:
+        strength = min(PRIOR, PRIOR_SHARE * (toxic + clean))
         for row in counts.where((F.col("toxic") >= MIN_TOXIC_DOCUMENTS) & (F.length("token") > 0)).toLocalIterator():
             share = (row["toxic"] + row["clean"]) / (toxic + clean)
-            prior = max(PRIOR * share, 0.01)
+            prior = max(strength * share, 0.01)
             a, b = row["toxic"] + prior, row["clean"] + prior
-            odds = np.log(a / max(toxic + PRIOR - a, 0.5)) - np.log(b / max(clean + PRIOR - b, 0.5))
+            odds = np.log(a / max(toxic + strength - a, 0.5)) - np.log(b / max(clean + strength - b, 0.5))
             z = odds / np.sqrt(1 / a + 1 / b)
             if z >= MIN_Z and odds > DRIFT:
                 weights[bytes(row["token"])] = float(odds)
@@ -193,13 +199,13 @@ def fit(sample: DataFrame) -> ToxicityModel:
             for text in batch.column(0).to_pylist():
                 scores = list(map(odds.__getitem__, words_of(text)))
                 hits = [s for s in scores if s > -DRIFT]
-                best = max((s for _, _, s in segments(scores)), default=0.0) if hits and max(hits) > 0 else 0.0
-                out.append((len(scores), best, hits))
+                found = [s for _, _, s in segments(scores)] if hits and max(hits) > 0 else []
+                out.append((len(scores), found, hits))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.float64(), pa.list_(pa.float64())))] + [batch.column(1)], names=["n", "best", "hits", "label"]
+                [pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64())))] + [batch.column(1)], names=["n", "found", "hits", "label"]
             )
 
-    seen = sample.mapInArrow(scan, "n long, best double, hits array<double>, label int").toPandas()
+    seen = sample.mapInArrow(scan, "n long, found array<double>, hits array<double>, label int").toPandas()
     if not len(seen) or not weights:
         rate = (toxic + 0.5) / (toxic + clean + 1) if n else 0.1
         return ToxicityModel(weights, 1.0, 1.0, 0.0, float(np.log(rate / (1 - rate))) if weights or n else -2.0)
@@ -210,7 +216,7 @@ def fit(sample: DataFrame) -> ToxicityModel:
     values = np.array([-DRIFT, *hits])
     chances = np.array([words, *hits.values()]) / (words + sum(hits.values()))
     model = ToxicityModel(weights, *_karlin(values, chances))
-    x = np.array([model.extreme(a, b) for a, b in zip(seen["n"], seen["best"], strict=True)])
+    x = np.array([model.extreme(a, b) for a, b in zip(seen["n"], seen["found"], strict=True)])
     model.slope, model.level = _logistic(x, seen["label"].to_numpy(float))
     return model
 
@@ -257,15 +263,15 @@ def op6_toxicity(spark, sf_dir: str) -> DataFrame:
 
 def keep_rows(docs: DataFrame, keep, text_col: str = "text") -> DataFrame:
     """The rows whose text ``keep()(bytes or None)`` accepts, with all their columns; a narrow map."""
-    shown = docs.withColumn("_judged_text", F.col(text_col).cast("string").cast("binary"))
+    place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         test = keep()
         for batch in batches:
-            last = batch.num_columns - 1
-            yield batch.filter(pa.array(list(map(test, batch.column(last).to_pylist())), pa.bool_())).select(range(last))
+            texts = batch.column(place).cast(pa.binary()).to_pylist()
+            yield batch.filter(pa.array(list(map(test, texts)), pa.bool_()))
 
-    return shown.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def toxicity_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
