@@ -82,6 +82,16 @@ def stacked(df: DataFrame, key: str, columns: Sequence[str], label: str, models:
     return out_of_fold(base, key, list(models), label, meta, folds)[0]
 
 
+def ensemble(df: DataFrame, key: str, columns: Sequence[str], label: str, models: Sequence[Callable[[], Estimator]], folds: int, test: DataFrame | None = None) -> DataFrame:
+    """(key, score): the mean of the out-of-fold scores of several parameter sets."""
+    return mean_by_key([out_of_fold(df, key, columns, label, m, folds, test=test)[0] for m in models], key, "score")
+
+
+def save_model(model, path: str, overwrite: bool = False) -> None:
+    writer = model.write()
+    (writer.overwrite() if overwrite else writer).save(path)
+
+
 def median_filled(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Nulls and NaNs become the column's median (approximate, one pass)."""
     return Imputer(strategy="median", inputCols=list(columns), outputCols=list(columns), relativeError=0.0001).fit(df).transform(df)

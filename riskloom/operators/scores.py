@@ -2,30 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.sources.storage import materialise
+from riskloom.operators.ordering import with_running
 
 TARGETS = ((0.001, 0.4), (0.005, 0.3), (0.01, 0.3))
 
 
 def cumulative(df: DataFrame, score: str, label: str, tie: str) -> DataFrame:
-    """Rows in descending score with their place and the marked rows so far.
-
-    A global running sum in two steps: rows are range-partitioned by score,
-    the totals of the ranges before are added to the sum within the range.
-    """
-    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    """Rows in descending score with their place (from 1) and the marked rows so far."""
     rows = df.select(F.col(score).alias("score"), F.col(label).cast("long").alias("label"), F.col(tie).alias("tie"))
-    # Written once: the ranges come from a sample, which differs from run to run.
-    ordered = materialise(rows.repartitionByRange(parts, F.desc("score"), "tie").withColumn("part", F.spark_partition_id()), "ranges")
-    bounds = ordered.groupBy("part").agg(F.count("*").alias("n"), F.sum("label").alias("m"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = bounds.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n"), F.coalesce(F.sum("m").over(before), F.lit(0)).alias("m"))
-    own = Window.partitionBy("part").orderBy(F.desc("score"), "tie").rowsBetween(Window.unboundedPreceding, 0)
-    running = ordered.withColumns({"place": F.row_number().over(Window.partitionBy("part").orderBy(F.desc("score"), "tie")), "marked": F.sum("label").over(own)})
-    return running.join(F.broadcast(offsets), "part").select("score", "label", "tie", (F.col("place") + F.col("n")).alias("place"), (F.col("marked") + F.col("m")).alias("marked"))
+    return with_running(rows, [F.desc("score"), "tie"], {"place": F.lit(1), "marked": F.col("label")})
 
 
 def weighted_tpr(df: DataFrame, score: str, label: str, tie: str) -> DataFrame:
@@ -43,8 +31,7 @@ def weighted_tpr(df: DataFrame, score: str, label: str, tie: str) -> DataFrame:
 def auc(df: DataFrame, score: str, label: str) -> DataFrame:
     """One row: the area under the ROC curve, from counts per distinct score."""
     by = df.groupBy(F.col(score).alias("score")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.count("*").alias("n"))
-    below = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = by.withColumn("less", F.coalesce(F.sum(F.col("n") - F.col("p")).over(below), F.lit(0)))
+    ranked = with_running(by, ["score"], {"upto": F.col("n") - F.col("p")}).withColumn("less", F.col("upto") - (F.col("n") - F.col("p")))
     pairs = F.sum(F.col("p") * (F.col("less") + (F.col("n") - F.col("p")) / 2))
     return ranked.agg(F.try_divide(pairs, (F.sum("p") * F.sum(F.col("n") - F.col("p"))).cast("double")).alias("auc"))
 

@@ -210,3 +210,10 @@ def stacking(spark, sf):
 def pca_embeddings(spark, sf):
     rows = learn.principal_components(load(spark, sf, "embeddings"), "vec_id", "embedding", 8)
     return rows.select("vec_id", F.size("components").alias("size"))
+
+
+@query()
+def parameter_ensemble(spark, sf):
+    """The mean of two parameter sets' out-of-fold scores."""
+    rows = learn.with_folds(_features(spark, sf).fillna(0.0), "uid", "tag", 2)
+    return learn.ensemble(rows, "uid", _COLUMNS, "tag", [lambda: learn.boosted(rounds=2, depth=2), lambda: learn.forest(trees=3, depth=3)], 2)
