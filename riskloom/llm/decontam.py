@@ -3,25 +3,30 @@
 The automaton of all normalised test items reads a text word by word and
 tracks the longest match that ends there.  A match of a window's length marks
 the window's words; the items that hold a window are known for each state.
+
+An automaton is only sent to the tasks for ``PART_BYTES`` of items; a larger
+benchmark is cut into parts by hash, and the texts pass through one part after
+the other.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-from itertools import repeat
+from collections.abc import Iterable, Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm.common import table
 from riskloom.llm.toxicity import keep_rows
+from riskloom.sources.storage import materialise
 
 WINDOW = 13
 SHARE = 20
-MAX_ITEM_BYTES = 64 << 20
+PART_BYTES = 2 << 20
 
 _WORD = bytes(c + 32 if 65 <= c < 91 else c if 48 <= c < 58 or 97 <= c < 123 or c >= 128 else 32 for c in range(256))
 
@@ -135,43 +140,67 @@ class Benchmark:
         return len(words), spans, names
 
 
-def read_items(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Benchmark:
-    """The benchmark, after a check that its texts have ``MAX_ITEM_BYTES`` at most.
+def read_parts(items: DataFrame, id_col: str = "item_id", text_col: str = "text", part_bytes: int = PART_BYTES) -> Iterator[Benchmark]:
+    """The benchmark, in parts of about ``part_bytes`` of text (one part, if it is that small).
 
     Null and empty texts have no windows; an item without an id is matched
     under the empty name; repeated items count once per id.
     """
-    size = items.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.lit(0))).first()[0]
-    if size > MAX_ITEM_BYTES:
-        raise ValueError(f"the items have {size} bytes; at most {MAX_ITEM_BYTES} can be sent to the tasks: run the parts one by one")
-    rows = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(text_col).cast("string").cast("binary")).distinct().collect()
-    return Benchmark(sorted((r[0], bytes(r[1]) if r[1] is not None else None) for r in rows))
+    text = F.col(text_col).cast("string").cast("binary")
+    size = items.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    parts = max(1, -(-size // part_bytes))
+    rows = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("name"), text.alias("text")).distinct()
+    for i in range(parts):
+        own = rows.where(F.pmod(F.xxhash64("name", "text"), F.lit(parts)) == i).collect()
+        yield Benchmark(sorted((r[0], bytes(r[1]) if r[1] is not None else b"") for r in own))
+
+
+def merged_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
 
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
-def matches(docs: DataFrame, benchmark: Benchmark, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def matches(docs: DataFrame, benchmark: Benchmark | Iterable[Benchmark], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_words, spans (start and end of hit
     words) and items (names, sorted as strings).
 
     A null or empty text has no words; null ids and repeated rows stay; other
     columns are ignored; no rows give no rows; with no items nothing is hit.
-    A narrow map.
+    A narrow map, with the rows written in between if there are several parts.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    sent = docs.sparkSession.sparkContext.broadcast(benchmark)
-    span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    rows = docs.select(
+        F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"), F.lit(0).cast("long").alias("n_words"),
+        F.array().cast("array<struct<start:int,end:int>>").alias("spans"), F.array().cast("array<string>").alias("items"),
+    )
+    for i, part in enumerate([benchmark] if isinstance(benchmark, Benchmark) else benchmark):
+        rows = _marked(materialise(rows, "decontamination") if i else rows, part)
+    return rows.drop("text")
+
+
+def _marked(rows: DataFrame, benchmark: Benchmark) -> DataFrame:
+    """The rows with the spans and items of one more part."""
+    sent = rows.sparkSession.sparkContext.broadcast(benchmark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hits = sent.value.hits
         for batch in batches:
             found = list(map(hits, batch.column(1).to_pylist()))
+            spans = [merged_spans([(s["start"], s["end"]) for s in before] + new) if before else new for before, (_, new, _) in zip(batch.column(3).to_pylist(), found, strict=True)]
+            names = [sorted(new.union(before)) for before, (_, _, new) in zip(batch.column(4).to_pylist(), found, strict=True)]
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array([n for n, _, _ in found], pa.int64()),
-                pa.array([[{"start": a, "end": b} for a, b in spans] for _, spans, _ in found], span),
-                pa.array([sorted(names) for _, _, names in found], pa.list_(pa.string())),
-            ], names=["doc_id", "n_words", "spans", "items"])
+                batch.column(0), batch.column(1), pa.array([n for n, _, _ in found], pa.int64()),
+                pa.array([[{"start": a, "end": b} for a, b in x] for x in spans], _SPANS), pa.array(names, pa.list_(pa.string())),
+            ], names=batch.schema.names)
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, n_words long, spans array<struct<start:int,end:int>>, items array<string>")
+    return rows.mapInArrow(run, rows.schema)
 
 
 def is_contaminated(n_words: int, spans: list[tuple[int, int]], share: int = SHARE) -> bool:
@@ -217,26 +246,51 @@ def remove_spans(docs: DataFrame, benchmark: Benchmark, text_col: str = "text",
     return docs.mapInArrow(run, docs.schema)
 
 
+def _hit_words() -> Column:
+    return F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])
+
+
+def _contaminated(n_hit: Column) -> Column:
+    return (n_hit > 0) & (SHARE * n_hit >= F.col("n_words"))
+
+
+def without_contaminated(docs: DataFrame, items: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
+    """``docs`` (doc_id, text and any others) without contaminated documents;
+    all others stay whole. Rows without an id are judged one part at a time,
+    if the benchmark has several."""
+    parts = read_parts(items, part_bytes=part_bytes)
+    first, second = next(parts), next(parts, None)
+    if second is None:
+        return _kept(docs, first)
+    found = matches(docs.where("doc_id is not null"), chain((first, second), parts)).where(_contaminated(_hit_words()))
+    nameless = docs.where("doc_id is null")
+    for part in read_parts(items, part_bytes=part_bytes):
+        nameless = _kept(nameless, part)
+    return docs.where("doc_id is not null").join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns).unionByName(nameless)
+
+
+def _kept(docs: DataFrame, benchmark: Benchmark) -> DataFrame:
+    sent = docs.sparkSession.sparkContext.broadcast(benchmark)
+
+    def keep():
+        hits = sent.value.hits
+        return lambda text: not is_contaminated(*hits(text)[:2])
+
+    return keep_rows(docs, keep)
+
+
 def op9_decontamination(spark, sf_dir: str) -> DataFrame:
-    found = matches(table(spark, sf_dir, "documents"), read_items(table(spark, sf_dir, "benchmark")))
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])
-    rows = found.withColumn("n_hit", n_hit)
+    found = matches(table(spark, sf_dir, "documents"), read_parts(table(spark, sf_dir, "benchmark")))
+    rows = found.withColumn("n_hit", _hit_words())
     return rows.select(
         "doc_id",
         "n_words",
         "n_hit",
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (SHARE * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+        _contaminated(F.col("n_hit")).alias("contaminated"),
     )
 
 
 def decontamination_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops contaminated documents; all others stay whole."""
-    sent = spark.sparkContext.broadcast(read_items(table(spark, sf_dir, "benchmark")))
-
-    def keep():
-        hits = sent.value.hits
-        return lambda text: not is_contaminated(*hits(text)[:2])
-
-    return keep_rows(docs, keep)
+    return without_contaminated(docs, table(spark, sf_dir, "benchmark"))

@@ -6,7 +6,7 @@ import cases
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from riskloom.llm.decontam import WINDOW, Benchmark, cut_spans, is_contaminated, matches, op9_decontamination, read_items, remove_spans, words_of
+from riskloom.llm.decontam import WINDOW, Benchmark, cut_spans, is_contaminated, matches, op9_decontamination, read_parts, remove_spans, without_contaminated, words_of
 
 
 def brute(text, items, window=WINDOW):
@@ -53,13 +53,13 @@ def test_query(spark, sf):
 
 def test_awkward_rows(spark):
     items = spark.createDataFrame([(1, "the cat", "x"), (1, "the cat", "x"), (None, "on the mat", "x"), (2, None, "x"), (3, "  ", "x")], "item_id long, text string, spans string")
-    rows = matches(cases.documents(spark), read_items(items)).collect()
+    rows = matches(cases.documents(spark), read_parts(items)).collect()
     assert len(rows) == len(cases.TEXTS)
     by = {r["doc_id"]: r for r in rows}
     assert [tuple(s) for s in by[6]["spans"]] == [(0, 2), (3, 6)] and by[6]["items"] == ["", "1"]
     assert by[1]["n_words"] == by[2]["n_words"] == 0 and by[9]["items"] == []
-    assert matches(cases.empty(spark), read_items(items)).count() == 0
-    none = read_items(items.limit(0))
+    assert matches(cases.empty(spark), read_parts(items)).count() == 0
+    none = read_parts(items.limit(0))
     assert all(not r["items"] for r in matches(cases.documents(spark), none).collect())
 
 
@@ -73,3 +73,11 @@ def test_spans_go(spark):
     assert got[1] == "Before, ; after " + "and more " * 300
     n, spans, _ = known.hits(text.encode())
     assert not is_contaminated(n, spans) and cut_spans(b"abc", []) == b"abc"
+
+
+def test_a_benchmark_in_parts_gives_the_same(spark, sf):
+    docs, items = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
+    one, many = (sorted(matches(docs, read_parts(items, part_bytes=b)).collect(), key=lambda r: r["doc_id"]) for b in (1 << 20, 3000))
+    assert len(list(read_parts(items, part_bytes=3000))) > 2 and one == many and any(r["items"] for r in one)
+    kept = [sorted(r["doc_id"] for r in without_contaminated(docs, items, b).collect()) for b in (1 << 20, 3000)]
+    assert kept[0] == kept[1] and len(kept[0]) < docs.count()
