@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.sources.storage import materialise
+
 FIT_DOCUMENTS = 20_000
 
 
@@ -13,7 +15,7 @@ def fit_sample(docs: DataFrame, labels: DataFrame, target: str, learn: Column, s
 
     ``learn`` is a condition on ``doc_id``.  The ids are chosen by hash from the
     labels alone; with at most ``size`` rows they are broadcast, so no text is
-    shuffled.  Null labels or ids do not take part; of repeated labels the
+    shuffled, and the sample is written, so the texts are read once.  Null labels or ids do not take part; of repeated labels the
     largest counts.
     """
     chosen = (
@@ -22,4 +24,5 @@ def fit_sample(docs: DataFrame, labels: DataFrame, target: str, learn: Column, s
         .groupBy("doc_id").agg(F.max("label").alias("label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
     )
-    return docs.select("doc_id", F.col("text").cast("string").cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "label")
+    texts = docs.select("doc_id", F.col("text").cast("string").cast("binary").alias("text"))
+    return materialise(texts.join(F.broadcast(chosen), "doc_id").select("text", "label"), "fit-sample")
