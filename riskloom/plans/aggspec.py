@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.aggregates import STATS
 from riskloom.operators.profiles import keyed
+from riskloom.sources.storage import materialise
 
 ROLLUPS = ("max", "min", "mean")
 
@@ -63,8 +64,14 @@ def _rolled(inner: DataFrame, user: str, names: Sequence[str]) -> DataFrame:
     return inner.groupBy(user).agg(*(STATS[r](F.col(n)).alias(f"{n}_{r}") for n in names for r in ROLLUPS))
 
 
-def compile_specs(df: DataFrame, user: str, specs: Sequence[AggSpec]) -> DataFrame:
-    """One row per user of ``df``; null where a user has no group for a spec."""
+def compile_specs(df: DataFrame, user: str, specs: Sequence[AggSpec], written: bool = True) -> DataFrame:
+    """One row per user of ``df``; null where a user has no group for a spec.
+
+    ``written``: the rows are written once to the shared folder, so that each
+    set of keys reads just its columns, and windows below are not computed
+    again for every set.
+    """
+    df = materialise(df, "spec-rows") if written else df
     by_keys: dict[tuple[str, ...], list[AggSpec]] = defaultdict(list)
     for s in specs:
         by_keys[s.keys].append(s)

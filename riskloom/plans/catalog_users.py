@@ -10,7 +10,7 @@ from riskloom.operators import pivots, profiles
 from riskloom.operators.relational import attach
 from riskloom.operators.sequences import lag_difference, lead_gap, sessions
 from riskloom.plans import aggspec
-from riskloom.plans.registry import ACTIONS, PAYMENTS, finish, finished, query, stats_sql
+from riskloom.plans.registry import ACTIONS, PAYMENTS, STATS_SQL, finish, finished, query, stats_sql
 from riskloom.sources.tables import actions, load, payments
 
 BASIC = ("count", "nunique", "sum", "mean", "min", "max", "var", "std", "skew")
@@ -250,8 +250,6 @@ def _specs_sql(base: str, table: str, specs, digits: int = 6) -> str:
         if s.agg == "mode":
             inner = f"SELECT {keys}, CASE WHEN count(*) > 1 THEN first(v ORDER BY n DESC, v) END AS v FROM (SELECT {keys}, {s.select} AS v, count(*) AS n FROM {table} WHERE {known}{met} AND {s.select} IS NOT NULL GROUP BY {keys}, {s.select}) GROUP BY {keys}"
         else:
-            from riskloom.plans.registry import STATS_SQL
-
             inner = f"SELECT {keys}, {STATS_SQL[s.agg].format(s.select)} AS v FROM {table} WHERE {known}{met} GROUP BY {keys}"
         parts.append(f"s{i} AS (SELECT uid, max(v) AS {name}_max, min(v) AS {name}_min, avg(v) AS {name}_mean FROM ({inner}) GROUP BY uid)")
         out.append(f"LEFT JOIN s{i} USING (uid)")
