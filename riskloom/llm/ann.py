@@ -10,9 +10,10 @@ the neighbour; buckets are visited from the most likely one until the chances
 reach ``SUCCESS``.  The candidates of all tables are merged and ranked by
 their exact inner products.
 
-Buckets are cut into blocks of ``BLOCK_ROWS`` rows, so that a bucket with a
-third of all rows spreads over many tasks; a query goes to the blocks of the
-buckets it visits, and each block returns its ``k`` best rows.
+Buckets are packed into groups of about ``GROUP_ROWS`` rows, and larger ones
+are cut into several groups, so a bucket with a third of all rows spreads over
+many tasks.  A query goes once to each group that holds a bucket it visits,
+and each group returns its ``k`` best rows of these buckets.
 """
 
 from __future__ import annotations
@@ -33,14 +34,15 @@ CELLS = 4
 WIDTH = 0.9
 SUCCESS = 0.85
 SAMPLE = 4000
-BLOCK_ROWS = 16384
+GROUP_ROWS = 8192
+QUERIES_AT_ONCE = 64
 SEED = 7
 _erf = np.vectorize(math.erf, otypes=[float])
 
 
 def _projections(n: int, size: int) -> list[np.ndarray]:
     """Gaussian directions of each table; more of them for more rows."""
-    m = int(np.clip(round(math.log2(max(n, 2)) / 3.2), 2, 8))
+    m = int(np.clip(round(math.log2(max(n, 2)) / 5.2), 2, 8))
     random = np.random.default_rng(SEED)
     return [random.standard_normal((size + 1, m)) for _ in range(TABLES)]
 
@@ -96,23 +98,25 @@ def _matrix(blobs) -> np.ndarray:
 
 
 def _best(candidates: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
-    """Of one block: each query's ``k`` best rows, with ties to the smaller id.
-    The matrix product only preselects; scores are summed alike for equal vectors."""
+    """Of one group: each query's ``k`` best rows among the buckets it visits,
+    with ties to the smaller id.  The matrix product only preselects; scores
+    are summed alike for equal vectors."""
     if not len(candidates) or not len(queries):
         return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
     rows, ids = _matrix(candidates["vector"]), candidates["vec_id"].to_numpy(np.int64)
-    order = np.argsort(ids)
-    rows, ids = rows[order], ids[order]
+    places, bucket = np.unique(candidates["place"].to_numpy(np.int64), return_inverse=True)
     out = []
-    for at in range(0, len(queries), 256):
-        part = queries.iloc[at : at + 256]
+    for at in range(0, len(queries), QUERIES_AT_ONCE):
+        part = queries.iloc[at : at + QUERIES_AT_ONCE]
         asked = _matrix(part["vector"])
         rough = asked @ rows.T
         slack = 1e-9 * (1 + np.abs(rough).max())
+        seen = np.stack([np.isin(places, np.frombuffer(v, "<i8")) for v in part["visited"]])
+        rough[~seen[:, bucket]] = -np.inf
         nth = min(k + 1, len(ids))
         floor = np.partition(rough, len(ids) - nth, axis=1)[:, len(ids) - nth] - slack
         for i, query_id in enumerate(part["query_id"]):
-            near = np.flatnonzero(rough[i] >= floor[i])
+            near = np.flatnonzero((rough[i] >= floor[i]) & (rough[i] > -np.inf))
             near = near[ids[near] != query_id]
             score = (rows[near] * asked[i]).sum(axis=1)
             top = np.lexsort((ids[near], -score))[:k]
@@ -121,6 +125,22 @@ def _best(candidates: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFra
     return pd.DataFrame({"query_id": query, "vec_id": vec, "score": score})
 
 
+def group_buckets(sizes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """First group, and number of groups, of each bucket; no group spans two
+    tables, so it never holds a row twice."""
+    parts = np.maximum(1, -(-sizes // GROUP_ROWS))
+    first, group, held = np.zeros(len(sizes), np.int64), 0, 0
+    for place, size in enumerate(sizes.tolist()):
+        if held and (held + size > GROUP_ROWS or place % buckets == 0):
+            group, held = group + 1, 0
+        first[place] = group
+        if parts[place] > 1:
+            group, held = group + int(parts[place]), 0
+        else:
+            held += size
+    return first, parts
+
+
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(vec_id, vector as little-endian doubles) of the rows that take part: an
     id, and a vector that is not null, empty or zero and has only finite
@@ -182,35 +202,33 @@ def nearest(vectors: DataFrame, is_query, k: int = K, id_col: str = "vec_id", ve
     sizes = np.zeros(TABLES * buckets, np.int64)
     for r in rows.mapInPandas(counted, "place long, rows long").groupBy("place").agg(F.sum("rows").alias("rows")).collect():
         sizes[r["place"]] = r["rows"]
-    blocks = np.maximum(1, -(-sizes // BLOCK_ROWS))
+    first, parts = group_buckets(sizes, buckets)
 
     def hashed(batches):
         for pdf in batches:
             for place in places(_matrix(pdf["vector"])) if len(pdf) else ():
                 mixed = pdf["vec_id"].to_numpy(np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
-                block = (mixed % blocks[place].astype(np.uint64)).astype(np.int64)
-                yield pd.DataFrame({"place": place, "block": block, "vec_id": pdf["vec_id"], "vector": pdf["vector"]})
-
-    index = rows.mapInPandas(hashed, "place long, block long, vec_id long, vector binary")
+                group = first[place] + (mixed % parts[place].astype(np.uint64)).astype(np.int64)
+                yield pd.DataFrame({"group": group, "place": place, "vec_id": pdf["vec_id"], "vector": pdf["vector"]})
 
     def probes(batches):
         for pdf in batches:
-            if not len(pdf):
-                continue
-            for at in range(0, len(pdf), 512):
-                part = pdf.iloc[at : at + 512]
+            for at in range(0, len(pdf), 256):
+                part = pdf.iloc[at : at + 256]
                 x = _matrix(part["vector"])
-                for t, d in enumerate(directions):
-                    own = sizes[t * buckets : (t + 1) * buckets]
-                    for i, order in enumerate(visits(bucket_chances(x, d, cosine), own, 10 * k)):
-                        cut = blocks[t * buckets + order]
-                        place = np.repeat(t * buckets + order, cut)
-                        block = np.arange(len(place)) - np.repeat(np.cumsum(cut) - cut, cut)
-                        yield pd.DataFrame({"place": place, "block": block, "query_id": part["vec_id"].iloc[i], "vector": part["vector"].iloc[i]})
-
-    asked = rows.where(is_query(F.col("vec_id"))).mapInPandas(probes, "place long, block long, query_id long, vector binary")
+                seen = [visits(bucket_chances(x, d, cosine), sizes[t * buckets : (t + 1) * buckets], 10 * k) for t, d in enumerate(directions)]
+                out = []
+                for query_id, vector, *orders in zip(part["vec_id"], part["vector"], *seen, strict=True):
+                    visited = np.concatenate([t * buckets + order for t, order in enumerate(orders)])
+                    last = first[visited] + parts[visited]
+                    groups = np.unique(np.concatenate([np.arange(a, b) for a, b in zip(first[visited], last, strict=True)]))
+                    out += [(g, query_id, vector, visited.astype("<i8").tobytes()) for g in groups.tolist()]
+                yield pd.DataFrame(out, columns=["group", "query_id", "vector", "visited"])
+
+    index = rows.mapInPandas(hashed, "group long, place long, vec_id long, vector binary")
+    asked = rows.where(is_query(F.col("vec_id"))).mapInPandas(probes, "group long, query_id long, vector binary, visited binary")
     found = (
-        index.groupBy("place", "block").cogroup(asked.groupBy("place", "block"))
+        index.groupBy("group").cogroup(asked.groupBy("group"))
         .applyInPandas(lambda c, q: _best(c, q, k), "query_id long, vec_id long, score double")
         .groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     )
