@@ -60,3 +60,14 @@ def test_one_hot_bucket(spark):
     want = brute(ids, vectors, ids % 60 == 0, 5)
     assert all([r["vec_id"] for r in got[q]] == want[q] for q in want if (vectors[q] == [1, 2, 0]).all() and np.allclose((vectors[want[q]] - vectors[q]), 0))
     assert len(got) == 45
+
+
+def test_other_queries_beside_a_hot_vector(spark):
+    """A group of equal vectors does not shorten the search of the other queries."""
+    random = np.random.default_rng(2)
+    rows = [(i, np.eye(24)[0].tolist() if i % 3 == 0 else random.normal(size=24).tolist()) for i in range(3000)]
+    got = by_query(nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda c: c % 20 == 0).collect())
+    ids, vectors = np.arange(3000), np.array([v for _, v in rows])
+    want = {q: w for q, w in brute(ids, vectors, ids % 20 == 0).items() if q % 3}
+    found = sum(len({r["vec_id"] for r in got[q]} & set(w)) for q, w in want.items())
+    assert found / sum(map(len, want.values())) >= 0.9
