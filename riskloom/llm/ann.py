@@ -61,12 +61,17 @@ def bucket_codes(vectors: np.ndarray, largest: float, directions: np.ndarray) ->
     return cells @ (CELLS ** np.arange(directions.shape[1]))
 
 
-def bucket_chances(queries: np.ndarray, directions: np.ndarray, cosine: float) -> np.ndarray:
-    """For each query and bucket: the chance that a neighbour lies there."""
+def bucket_chances(queries: np.ndarray, directions: np.ndarray, near: tuple[float, float, float]) -> np.ndarray:
+    """For each query and bucket: the chance that a neighbour lies there.
+
+    ``near``: a neighbour's expected cosine, and the mean and variance of its
+    lifted coordinate; the rest of it is taken as random.
+    """
+    cosine, height, variance = near
     unit = queries / np.linalg.norm(queries, axis=1, keepdims=True)
-    centre = cosine * (unit @ directions[:-1])
+    centre = cosine * (unit @ directions[:-1]) + height * directions[-1]
     edges = WIDTH * (np.arange(1, CELLS) - CELLS // 2)
-    spread = math.sqrt(max(1e-6, 1 - cosine**2))
+    spread = np.sqrt(max(1e-6, 1 - cosine**2 - height**2) + variance * directions[-1] ** 2)[:, None]
     below = 0.5 * (1 + _erf((edges - centre[..., None]) / (spread * math.sqrt(2))))
     cell = np.diff(np.concatenate([np.zeros((*centre.shape, 1)), below, np.ones((*centre.shape, 1))], axis=2), axis=2)
     out = np.ones((len(queries), 1))
@@ -183,7 +188,7 @@ def nearest(vectors: DataFrame, is_query, k: int = K, id_col: str = "vec_id", ve
 
     largest = float(rows.mapInPandas(norms, "norm double").agg(F.max("norm")).first()[0])
     sample = _matrix(r[0] for r in rows.orderBy(F.xxhash64("vec_id")).limit(SAMPLE).select("vector").collect())
-    cosine = expected_cosine(sample, largest, n, k)
+    near = expected_neighbour(sample, largest, n, k)
     directions = _projections(n, size)
     buckets = CELLS ** directions[0].shape[1]
 
@@ -216,7 +221,7 @@ def nearest(vectors: DataFrame, is_query, k: int = K, id_col: str = "vec_id", ve
             for at in range(0, len(pdf), 256):
                 part = pdf.iloc[at : at + 256]
                 x = _matrix(part["vector"])
-                seen = [visits(bucket_chances(x, d, cosine), sizes[t * buckets : (t + 1) * buckets], 10 * k) for t, d in enumerate(directions)]
+                seen = [visits(bucket_chances(x, d, near), sizes[t * buckets : (t + 1) * buckets], 10 * k) for t, d in enumerate(directions)]
                 out = []
                 for query_id, vector, *orders in zip(part["vec_id"], part["vector"], *seen, strict=True):
                     visited = np.concatenate([t * buckets + order for t, order in enumerate(orders)])
@@ -237,8 +242,9 @@ def nearest(vectors: DataFrame, is_query, k: int = K, id_col: str = "vec_id", ve
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
-def expected_cosine(sample: np.ndarray, largest: float, n: int, k: int) -> float:
-    """Cosine, on the sphere, to a query's ``k``-th neighbour of ``n``.
+def expected_neighbour(sample: np.ndarray, largest: float, n: int, k: int) -> tuple[float, float, float]:
+    """Cosine, on the sphere, to a query's ``k``-th neighbour of ``n``, and the
+    mean and variance of the lifted coordinate of such neighbours.
 
     Each sampled query has its own estimate, that quantile of its cosines to
     the sample (the closest one beyond the sample's reach); nine in ten
@@ -246,12 +252,14 @@ def expected_cosine(sample: np.ndarray, largest: float, n: int, k: int) -> float
     vectors, however large, does not make the search of the others too short.
     """
     if len(sample) < 2:
-        return 0.0
+        return 0.0, 0.0, 1.0
     asked = sample[:: max(1, len(sample) // 500)]
-    cosine = (asked / np.linalg.norm(asked, axis=1, keepdims=True)) @ (sample / largest).T
-    others = np.sort(cosine, axis=1)[:, :-1]
-    share = min(1.0, k / max(n - 1, 1))
-    return float(np.clip(np.quantile(np.quantile(others, 1 - share, axis=1), 0.1), -0.99, 0.999))
+    lifted = _lifted(sample, largest)
+    cosine = (asked / np.linalg.norm(asked, axis=1, keepdims=True)) @ lifted[:, :-1].T
+    order = np.argsort(cosine, axis=1)[:, :-1]
+    reach = np.quantile(np.take_along_axis(cosine, order, axis=1), 1 - min(1.0, k / max(n - 1, 1)), axis=1)
+    heights = lifted[order[:, -max(1, round(len(sample) * k / n)) :], -1]
+    return float(np.clip(np.quantile(reach, 0.1), -0.99, 0.999)), float(heights.mean()), float(heights.var())
 
 
 def op10_nearest(spark, sf_dir: str) -> DataFrame:
