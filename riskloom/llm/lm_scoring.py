@@ -19,13 +19,17 @@ The work is done once per distinct unit, with no broadcast that grows:
    writes its words keyed by word hash, its contexts keyed by their two
    latest bytes, and its documents as word numbers (one written table);
 2. words meet by hash for corpus counts;
-3. contexts meet by key: subtrees of depth two and more are built there, the
-   two levels above (at most 65,536 nodes) on the driver;
+3. contexts meet by key in two steps, first those of a lot of blocks, then
+   the lots (about the square root of the blocks in either step, so a frequent
+   pair of bytes does not gather all blocks in one task): subtrees of depth two
+   and more are built there, the two levels above (at most 65,536 nodes) on the
+   driver;
 4. counts and probabilities return to the blocks and are summed by document.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -380,11 +384,20 @@ def upper_levels(number: np.ndarray, zeros: np.ndarray, ones: np.ndarray, produc
     return out
 
 
+def _keys(blob: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(blob, "<u8"), dtype=np.uint64)
+
+
 def _gathered(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    keys = np.concatenate([np.cumsum(_unpack(x, "<u8"), dtype=np.uint64) for x in pdf["first"]])
-    weights = np.concatenate([_unpack(x, "<i8") for x in pdf["second"]])
-    unique, inverse = np.unique(keys, return_inverse=True)
-    return unique, np.bincount(inverse, weights, len(unique)), inverse
+    """Distinct keys, their summed weights, and the place of each given key."""
+    unique, inverse = np.unique(np.concatenate([_keys(x) for x in pdf["first"]]), return_inverse=True)
+    return unique, np.bincount(inverse, np.concatenate([_unpack(x, "<i8") for x in pdf["second"]]), len(unique)), inverse
+
+
+def _merged_lot(pdf: pd.DataFrame) -> pd.DataFrame:
+    keys, weights, _ = _gathered(pdf)
+    out = [(pdf["part"].iloc[0], pdf["lot"].iloc[0], _pack(np.diff(keys, prepend=np.uint64(0))), _pack(weights.astype("<i8")))]
+    return pd.DataFrame(out, columns=["part", "lot", "first", "second"])
 
 
 def _tops(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -395,12 +408,18 @@ def _tops(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"node": unique, "zeros": sums[0], "ones": sums[1], "product": sums[2]})
 
 
-def _probability_replies(pdf: pd.DataFrame, upper: list) -> pd.DataFrame:
+def _lot_probabilities(pdf: pd.DataFrame, upper: list) -> pd.DataFrame:
+    """Log10 probabilities of each lot's keys, in their order."""
     keys, weights, inverse = _gathered(pdf)
-    p = (Subtrees(keys, weights, DEPTH, 2).log_probability(upper) / np.log(10))[inverse]
-    ends = np.cumsum([len(_unpack(x, "<u8")) for x in pdf["first"]])
-    parts = [x.astype("<f4").tobytes() for x in np.split(p, ends[:-1])]
-    return pd.DataFrame({"block": pdf["block"], "kind": "keys", "part": pdf["part"], "value": parts})
+    p = (Subtrees(keys, weights, DEPTH, 2).log_probability(upper) / np.log(10))[inverse].astype("<f4")
+    ends = np.cumsum([len(_keys(x)) for x in pdf["first"]])
+    return pd.DataFrame({"part": pdf["part"], "lot": pdf["lot"], "first": pdf["first"], "logs": [x.tobytes() for x in np.split(p, ends[:-1])]})
+
+
+def _probability_replies(blocks: pd.DataFrame, lot: pd.DataFrame) -> pd.DataFrame:
+    keys, logs = _keys(lot["first"].iloc[0]), np.frombuffer(lot["logs"].iloc[0], "<f4")
+    values = [logs[np.searchsorted(keys, _keys(x))].tobytes() for x in blocks["first"]]
+    return pd.DataFrame({"block": blocks["block"], "kind": "keys", "part": blocks["part"], "value": values})
 
 
 def _documents(docs: pd.DataFrame, replies: pd.DataFrame, tokens: int, distinct: int, trees: int) -> pd.DataFrame:
@@ -445,8 +464,10 @@ def score_corpus(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text
 
     sums = words.groupBy("part").applyInPandas(_totals, "tokens long, words long").agg(F.sum("tokens"), F.sum("words")).first()
     tokens, distinct = (x or 0 for x in sums)
+    keys = keys.withColumn("lot", F.pmod(F.xxhash64("block"), F.lit(math.isqrt(n) + 1)).cast("int"))
+    lots = materialise(keys.groupBy("part", "lot").applyInPandas(_merged_lot, "part int, lot int, first binary, second binary"), "lm-keys")
     tops = (
-        keys.groupBy("part")
+        lots.groupBy("part")
         .applyInPandas(_tops, "node int, zeros double, ones double, product double")
         .groupBy("node")
         .agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "product")))
@@ -455,8 +476,9 @@ def score_corpus(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text
     upper = upper_levels(tops["node"].to_numpy(np.int64), *(tops[c].to_numpy(float) for c in ("zeros", "ones", "product")))
 
     reply = "block long, kind string, part int, value binary"
+    known = lots.groupBy("part").applyInPandas(lambda p: _lot_probabilities(p, upper), "part int, lot int, first binary, logs binary")
     replies = words.groupBy("part").applyInPandas(_count_replies, reply).unionByName(
-        keys.groupBy("part").applyInPandas(lambda p: _probability_replies(p, upper), reply)
+        keys.groupBy("part", "lot").cogroup(known.groupBy("part", "lot")).applyInPandas(_probability_replies, reply)
     )
     return (
         texts.groupBy("block").cogroup(replies.groupBy("block"))

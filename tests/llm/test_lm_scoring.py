@@ -83,7 +83,10 @@ def test_counts_and_base(spark, sf):
         words = [*tokenize(docs[r["doc_id"]].encode()), END]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (len(words), sum(counts[w] > 0 for w in words), n, held[r["doc_id"]])
         assert r["base_score"] == pytest.approx(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in words))
-    unseen = [r for r in got if r["held_out"]]
+
+
+def test_better_than_single_words_on_unseen_texts(spark, sf):
+    unseen = op1_lm_scoring(spark, sf.replace("sf0.001", "sf0.1")).where("held_out").collect()
     assert sum(r["score"] for r in unseen) > sum(r["base_score"] for r in unseen)
 
 
