@@ -100,21 +100,21 @@ def _tails(words: list[bytes], ids: np.ndarray, starts: np.ndarray) -> np.ndarra
 def _distinct(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Numbers the distinct rows of byte columns; also one place of each.
     Direct tables where they are small, sorting else."""
-    number = np.zeros(len(columns[0]), np.int64)
+    number = np.zeros(len(columns[0]), np.int32)
     for column in columns:
         symbols = np.unique(column)
-        rank = np.zeros(256, np.int64)
+        rank = np.zeros(256, np.int32)
         rank[symbols] = np.arange(len(symbols))
-        key = number * len(symbols) + rank[column]
         cells = (int(number.max(initial=0)) + 1) * len(symbols)
         if cells <= TABLE_CELLS:
+            key = number * np.int32(len(symbols)) + rank[column]
             used = np.zeros(cells, bool)
             used[key] = True
-            number = (np.cumsum(used, dtype=np.int32) - 1)[key].astype(np.int64)
+            number = (np.cumsum(used, dtype=np.int32) - np.int32(1))[key]
         else:
-            number = np.unique(key, return_inverse=True)[1]
-    place = np.zeros(int(number.max(initial=-1)) + 1, np.int64)
-    place[number] = np.arange(len(number))
+            number = np.unique(number.astype(np.int64) * len(symbols) + rank[column], return_inverse=True)[1].astype(np.int32)
+    place = np.zeros(int(number.max(initial=-1)) + 1, np.int32)
+    place[number] = np.arange(len(number), dtype=np.int32)
     return number, place
 
 
@@ -145,7 +145,7 @@ class Block:
         unit, columns = [], [[] for _ in range(DEPTH + 1)]
         for j in range(TAIL):
             at = np.flatnonzero(size[head] > j)
-            unit.append(at)
+            unit.append(at.astype(np.int32))
             for back in range(DEPTH + 1):
                 columns[back].append(strip[at, j + DEPTH - back])
         long = [i for i, w in enumerate(closed) if len(w) > TAIL]
@@ -155,19 +155,20 @@ class Block:
             which = np.repeat(np.arange(len(long)), lengths)
             ends = np.cumsum(lengths + DEPTH)
             position = np.arange(len(which)) - (np.cumsum(lengths) - lengths)[which] + (ends - lengths)[which]
-            unit.append(np.array(long)[which] + self.pairs)
+            unit.append((np.array(long)[which] + self.pairs).astype(np.int32))
             for back in range(DEPTH + 1):
                 columns[back].append(joined[position - back])
         self.unit = np.concatenate(unit)
         joined_columns = [np.concatenate(c) for c in columns]
+        del columns
         number, place = _distinct([*joined_columns[1:], joined_columns[0]])
         keys = np.zeros(len(place), np.uint64)
         for column in (*joined_columns[1:], joined_columns[0]):
             keys = (keys << np.uint64(8)) | column[place].astype(np.uint64)
         self.home = _home(keys, trees, DEPTH)
         order = np.lexsort((keys, self.home))
-        rank = np.empty(len(keys), np.int64)
-        rank[order] = np.arange(len(keys))
+        rank = np.empty(len(keys), np.int32)
+        rank[order] = np.arange(len(keys), dtype=np.int32)
         self.keys, self.home, self.number = keys[order], self.home[order], rank[number]
 
     def key_weights(self, learned: np.ndarray) -> np.ndarray:
