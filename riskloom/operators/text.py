@@ -14,8 +14,8 @@ from riskloom.functions.scalar import text_token
 
 
 def words(text: Column) -> Column:
-    """Lower-case runs of two or more word characters."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"\b\w\w+\b"), 0)
+    """Lower-case runs of two or more letters, digits or underscores of any script."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), 0)
 
 
 def token_lists(df: DataFrame, key: str, value: str, order: Sequence[str], name: str = "tokens") -> DataFrame:

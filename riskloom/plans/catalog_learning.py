@@ -13,6 +13,7 @@ _TERMS = "w AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '\\b\\w\\w
 
 
 def _docs(spark, sf):
+    """The turns that ``_TERMS`` names: even conversations, ASCII texts."""
     rows = load(spark, sf, "conversations").where(F.rlike("text", F.lit(r"^[\x00-\x7F]*$")) & (F.col("conv_id") % 2 == 0))
     return rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc"), text.words(F.col("text")).alias("tokens"))
 
@@ -37,6 +38,33 @@ def ngram_df(spark, sf):
     return text.kept_terms(counts, docs.count(), 5, 0.8)
 
 
+def _all_docs(spark, sf):
+    rows = load(spark, sf, "conversations")
+    return rows.select(F.struct("conv_id", "turn").alias("doc"), text.words(F.col("text")).alias("tokens"))
+
+
+@query()
+def whole_bow_counts(spark, sf):
+    """bow_counts over all turns."""
+    return text.term_counts(_all_docs(spark, sf), "doc", "tokens").select("doc.conv_id", "doc.turn", "term", "tf")
+
+
+@query()
+def whole_tfidf_l2(spark, sf):
+    """tfidf_l2 over all turns."""
+    docs = _all_docs(spark, sf)
+    weights = text.tf_idf(text.term_counts(docs, "doc", "tokens"), "doc", docs)
+    return finish(weights.select("doc.conv_id", "doc.turn", "term", "weight"), "conv_id", "turn", "term")
+
+
+@query()
+def whole_ngram_df(spark, sf):
+    """ngram_df over all turns."""
+    docs = _all_docs(spark, sf)
+    counts = text.term_counts(docs, "doc", text.with_pairs(F.col("tokens")))
+    return text.kept_terms(counts, docs.count(), 5, 0.8)
+
+
 @query()
 def w2v_user_features(spark, sf):
     rows = text.sequence_vectors(actions(spark, sf), "uid", "dev", ["us", "event_id"], size=4)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import re
 from collections import Counter
 
 import pytest
@@ -50,3 +52,24 @@ def test_walks_start_at_every_node_of_all_order_lines(spark, sf, edges, name, pa
 
 def test_embeddings_of_every_node_of_all_order_lines(spark, sf, edges):
     assert sorted(int(n) for n, _ in rows(spark, sf, "deepwalk_embeddings")) == sorted({n for e in edges for n in e})
+
+
+TURNS = [(1, 1000, "Über café naïve"), (2, 0, "café a bc bc"), (3, 0, None), (4, 0, "漢字 x"), (4, 1, "snake_case 12 ½½"), *((i, 0, "same two words") for i in range(5, 15))]
+
+
+def test_terms_of_all_turns(spark, sf, tmp_path):
+    turns = [(i, t, x) for i, t, x in connect(sf).execute("SELECT conv_id, turn, text FROM conversations").fetchall()]
+    spark.createDataFrame(TURNS, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    for folder, own in ((sf, turns), (str(tmp_path), TURNS)):
+        tokens = {(i, t): re.findall(r"\b\w\w+\b", (x or "").lower()) for i, t, x in own}
+        counts = {key: Counter(words) for key, words in tokens.items()}
+        assert {(i, t, w): n for i, t, w, n in rows(spark, folder, "whole_bow_counts")} == {(*key, w): n for key, c in counts.items() for w, n in c.items()}
+        df = Counter(w for c in counts.values() for w in c)
+        weight = {(*key, w): n * (math.log((1 + len(own)) / (1 + df[w])) + 1) for key, c in counts.items() for w, n in c.items()}
+        length = Counter()
+        for (i, t, _), x in weight.items():
+            length[i, t] += x * x
+        got = {(i, t, w): x for i, t, w, x in rows(spark, folder, "whole_tfidf_l2")}
+        assert got == pytest.approx({k: x / math.sqrt(length[k[:2]]) for k, x in weight.items()}, abs=2e-6)
+        pairs = Counter(w for words in tokens.values() for w in {*words, *map(" ".join, zip(words, words[1:], strict=False))})
+        assert dict(rows(spark, folder, "whole_ngram_df")) == {w: n for w, n in pairs.items() if 5 <= n <= 0.8 * len(own)}
