@@ -19,6 +19,8 @@ and each group returns its ``k`` best rows of these buckets.
 from __future__ import annotations
 
 import math
+import zlib
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -110,6 +112,7 @@ def _best(candidates: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFra
         return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
     rows, ids = _matrix(candidates["vector"]), candidates["vec_id"].to_numpy(np.int64)
     places, bucket = np.unique(candidates["place"].to_numpy(np.int64), return_inverse=True)
+    unique = len(np.unique(ids)) == len(ids)
     out = []
     for at in range(0, len(queries), QUERIES_AT_ONCE):
         part = queries.iloc[at : at + QUERIES_AT_ONCE]
@@ -118,13 +121,17 @@ def _best(candidates: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFra
         slack = 1e-9 * (1 + np.abs(rough).max())
         seen = np.stack([np.isin(places, np.frombuffer(v, "<i8")) for v in part["visited"]])
         rough[~seen[:, bucket]] = -np.inf
-        nth = min(k + 1, len(ids))
+        # With repeated ids the first rows may be of fewer ids than k.
+        nth = min(k + 1, len(ids)) if unique else len(ids)
         floor = np.partition(rough, len(ids) - nth, axis=1)[:, len(ids) - nth] - slack
         for i, query_id in enumerate(part["query_id"]):
             near = np.flatnonzero((rough[i] >= floor[i]) & (rough[i] > -np.inf))
             near = near[ids[near] != query_id]
             score = (rows[near] * asked[i]).sum(axis=1)
-            top = np.lexsort((ids[near], -score))[:k]
+            top = np.lexsort((ids[near], -score))
+            if not unique:
+                top = top[np.sort(np.unique(ids[near][top], return_index=True)[1])]
+            top = top[:k]
             out.append((np.full(len(top), query_id), ids[near][top], score[top]))
     query, vec, score = map(np.concatenate, zip(*out, strict=True))
     return pd.DataFrame({"query_id": query, "vec_id": vec, "score": score})
@@ -149,7 +156,7 @@ def group_buckets(sizes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarr
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(vec_id, vector as little-endian doubles) of the rows that take part: an
     id, and a vector that is not null, empty or zero and has only finite
-    components.  Of rows with one id, one takes part."""
+    components.  Equal rows are one."""
     v = F.col("v")
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     good = (
@@ -161,33 +168,41 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
         for pdf in batches:
             yield pd.DataFrame({"vec_id": pdf["vec_id"], "vector": [np.asarray(x, "<f8").tobytes() for x in pdf["v"]]})
 
-    return rows.where(good).mapInPandas(pack, "vec_id long, vector binary").groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    return rows.where(good).mapInPandas(pack, "vec_id long, vector binary").distinct()
 
 
 def nearest(vectors: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """For each row that meets the condition ``is_query`` (a function of the id
     column): its ``k`` nearest other rows, as query_id, rank (from 1), vec_id, score.
 
-    Rows without a usable vector (see ``usable``) take no part; all vectors
-    must have one length, those of another length than the longest are left
-    out; ties go to the smaller id; with fewer rows than ``k`` all are
-    returned; other columns are ignored; no rows give no rows.
+    Rows without a usable vector (see ``usable``) take no part; vectors are
+    searched among those of their length; an id with several vectors asks with
+    each and is found by each, once, with its best score; ties go to the
+    smaller id; with fewer rows than ``k`` all are returned; other columns are
+    ignored; no rows give no rows.
     """
-    spark = vectors.sparkSession
     rows = materialise(usable(vectors, id_col, vector_col), "vectors")
-    stats = rows.agg(F.count("*"), F.max(F.octet_length("vector"))).first()
-    n, size = stats[0], (stats[1] or 0) // 8
-    result = "query_id long, rank int, vec_id long, score double"
-    if not n:
-        return spark.createDataFrame([], result)
-    rows = rows.where(F.octet_length("vector") == 8 * size)
+    ids = rows.groupBy(F.octet_length("vector").alias("bytes"), "vec_id").agg(F.count("*").alias("n"))
+    sizes = ids.groupBy("bytes").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max(is_query(F.col("vec_id"))).alias("asked")).where("asked").collect()
+    if not sizes:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    found = [_found(rows.where(F.octet_length("vector") == r["bytes"]), is_query, k, r["n"], r["most"], r["bytes"] // 8) for r in sorted(sizes)]
+    best = reduce(DataFrame.unionAll, found).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "vec_id", "score")
+
+
+def _found(rows: DataFrame, is_query, k: int, n: int, most: int, size: int) -> DataFrame:
+    """(query_id, vec_id, score): what each group of buckets returns, for the
+    ``n`` rows (vec_id, vector) of ``size`` components, at most ``most`` of an id."""
 
     def norms(batches):
         for pdf in batches:
             yield pd.DataFrame({"norm": np.linalg.norm(_matrix(pdf["vector"]), axis=1) if len(pdf) else []})
 
     largest = float(rows.mapInPandas(norms, "norm double").agg(F.max("norm")).first()[0])
-    sample = _matrix(r[0] for r in rows.orderBy(F.xxhash64("vec_id")).limit(SAMPLE).select("vector").collect())
+    sample = _matrix(r[0] for r in rows.orderBy(F.xxhash64("vec_id"), "vector").limit(SAMPLE).select("vector").collect())
     near = expected_neighbour(sample, largest, n, k)
     directions = _projections(n, size)
     buckets = CELLS ** directions[0].shape[1]
@@ -212,7 +227,9 @@ def nearest(vectors: DataFrame, is_query, k: int = K, id_col: str = "vec_id", ve
     def hashed(batches):
         for pdf in batches:
             for place in places(_matrix(pdf["vector"])) if len(pdf) else ():
-                mixed = pdf["vec_id"].to_numpy(np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
+                # Vectors too, as one id may have many.
+                marks = pdf["vec_id"].to_numpy(np.int64).astype(np.uint64) + np.fromiter(map(zlib.crc32, pdf["vector"]), np.uint64, len(pdf))
+                mixed = marks * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
                 group = first[place] + (mixed % parts[place].astype(np.uint64)).astype(np.int64)
                 yield pd.DataFrame({"group": group, "place": place, "vec_id": pdf["vec_id"], "vector": pdf["vector"]})
 
@@ -221,7 +238,7 @@ def nearest(vectors: DataFrame, is_query, k: int = K, id_col: str = "vec_id", ve
             for at in range(0, len(pdf), 256):
                 part = pdf.iloc[at : at + 256]
                 x = _matrix(part["vector"])
-                seen = [visits(bucket_chances(x, d, near), sizes[t * buckets : (t + 1) * buckets], 10 * k) for t, d in enumerate(directions)]
+                seen = [visits(bucket_chances(x, d, near), sizes[t * buckets : (t + 1) * buckets], 10 * k * most) for t, d in enumerate(directions)]
                 out = []
                 for query_id, vector, *orders in zip(part["vec_id"], part["vector"], *seen, strict=True):
                     visited = np.concatenate([t * buckets + order for t, order in enumerate(orders)])
@@ -232,14 +249,7 @@ def nearest(vectors: DataFrame, is_query, k: int = K, id_col: str = "vec_id", ve
 
     index = rows.mapInPandas(hashed, "group long, place long, vec_id long, vector binary")
     asked = rows.where(is_query(F.col("vec_id"))).mapInPandas(probes, "group long, query_id long, vector binary, visited binary")
-    found = (
-        index.groupBy("group").cogroup(asked.groupBy("group"))
-        .applyInPandas(lambda c, q: _best(c, q, k), "query_id long, vec_id long, score double")
-        .groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    )
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    return index.groupBy("group").cogroup(asked.groupBy("group")).applyInPandas(lambda c, q: _best(c, q, k), "query_id long, vec_id long, score double")
 
 
 def expected_neighbour(sample: np.ndarray, largest: float, n: int, k: int) -> tuple[float, float, float]:

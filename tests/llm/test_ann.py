@@ -71,3 +71,16 @@ def test_other_queries_beside_a_hot_vector(spark):
     want = {q: w for q, w in brute(ids, vectors, ids % 20 == 0).items() if q % 3}
     found = sum(len({r["vec_id"] for r in got[q]} & set(w)) for q, w in want.items())
     assert found / sum(map(len, want.values())) >= 0.9
+
+
+def test_lengths_and_repeated_ids(spark):
+    """One longer row hides no others; every vector of an id takes part."""
+    rows = [(0, [1.0, 0.0]), (1, [0.9, 0.0]), (2, [-1.0, 0.0]), (2, [0.95, 0.0]), (3, [0.1, 0.2]), (20, [1.0, 0.0, 0.0]), (21, [0.5, 0.5, 0.0]), (4, [1.0, 2.0, 3.0, 4.0])]
+    got = by_query(nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda c: c % 20 == 0, k=3).collect())
+    assert {q: [(r["vec_id"], r["score"]) for r in x] for q, x in got.items()} == {0: [(2, 0.95), (1, 0.9), (3, 0.1)], 20: [(21, 0.5)]}
+
+
+def test_an_id_with_many_vectors_takes_one_rank(spark):
+    rows = [(0, [1.0, 0.0]), *((7, [1.0 - i / 1000, 0.1]) for i in range(50)), (8, [0.5, 0.0]), (9, [0.4, 0.0])]
+    got = by_query(nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda c: c % 20 == 0, k=3).collect())
+    assert {q: [r["vec_id"] for r in x] for q, x in got.items()} == {0: [7, 8, 9]}
