@@ -184,14 +184,15 @@ def link_marks(marks: DataFrame) -> DataFrame:
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, mark), and for each mark its root and the smallest id of its component."""
+    """Rows (doc_id, mark), and for each mark its smallest id, its root and the
+    smallest id of its component."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
     marked = materialise(rows.mapInArrow(_fingerprints, "doc_id long, mark long"), "fingerprints")
     classes = materialise(marked.groupBy("mark").agg(F.min("doc_id").alias("least")), "classes")
     roots = components(link_marks(classes)).withColumnRenamed("node", "mark")
     rooted = classes.join(roots, "mark", "left").select("mark", "least", F.coalesce("root", "mark").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return marked, rooted.join(smallest, "root").select("mark", "root", "component_id")
+    return marked, rooted.join(smallest, "root").select("mark", "least", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -204,21 +205,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stay; other columns are ignored; no rows give no rows.
     """
     marked, named = _classes(docs, id_col, text_col)
-    return marked.join(named, "mark").select(
+    return marked.join(named.drop("least"), "mark").select(
         "doc_id", F.lpad(F.lower(F.hex("mark")), 16, "0").alias("fingerprint"), "component_id"
     )
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with all columns and one row of each component: the one with
-    the smallest id (any one, if that id repeats), or, in a component of null
-    ids only, any one."""
-    marked, named = _classes(docs, id_col, text_col)
-    first = marked.join(named, "mark").where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(id_col)).distinct()
-    kept = docs.join(first, id_col, "left_semi").dropDuplicates([id_col]).select(*docs.columns)
-    # Rows without an id are found by their fingerprint.
+    the smallest id (any one, if that id repeats in it), or, in a component of
+    null ids only, any one.  Rows are found by id and fingerprint, as one id
+    may stand in several components."""
+    _, named = _classes(docs, id_col, text_col)
     shown = "_mark"
-    while shown in docs.columns:
+    while any(c.startswith(shown) for c in docs.columns):
         shown += "_"
     place = docs.columns.index(text_col)
 
@@ -228,9 +227,14 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             marks = np.fromiter((fingerprint(None if t is None else t.encode()) for t in texts), np.uint64, len(texts))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks.view(np.int64))], names=[*batch.schema.names, shown])
 
-    nameless = docs.where(F.col(id_col).isNull()).mapInArrow(mark, T.StructType([*docs.schema.fields, T.StructField(shown, T.LongType())]))
+    def with_marks(rows: DataFrame) -> DataFrame:
+        return rows.mapInArrow(mark, T.StructType([*docs.schema.fields, T.StructField(shown, T.LongType())]))
+
+    first = named.where(F.col("least") == F.col("component_id")).groupBy("root").agg(F.min("mark").alias(shown), F.first("component_id").alias(id_col)).drop("root")
+    kept = with_marks(docs.where(F.col(id_col).isNotNull())).join(first, [id_col, shown], "left_semi").dropDuplicates([id_col, shown])
     alone = named.where("component_id is null").select(F.col("mark").alias(shown), F.col("root").alias(shown + "root"))
-    return kept.unionByName(nameless.join(alone, shown).dropDuplicates([shown + "root"]).select(*docs.columns))
+    nameless = with_marks(docs.where(F.col(id_col).isNull())).join(alone, shown).dropDuplicates([shown + "root"])
+    return kept.select(*docs.columns).unionByName(nameless.select(*docs.columns))
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:

@@ -89,3 +89,10 @@ def test_awkward_rows(spark):
 def test_rows_without_ids_keep_one_of_each(spark):
     docs = spark.createDataFrame([(None, "alone here is one"), (None, "alone here is one"), (None, "quite another text"), (3, None)], "doc_id long, text string")
     assert sorted(str(r["text"]) for r in one_of_each(docs).collect()) == ["None", "alone here is one", "quite another text"]
+
+
+def test_one_id_in_two_components_keeps_one_of_each(spark):
+    rows = [(3, "the cat sat on the mat"), (5, "THE cat sat on the mat"), (5, "quite another text of its own"), (5, "quite another text of its own"), (6, "a third one stands here")]
+    for order in (rows, rows[::-1]):
+        kept = one_of_each(spark.createDataFrame(order, "doc_id long, text string").coalesce(1)).collect()
+        assert sorted(map(tuple, kept)) == [rows[0], rows[2], rows[4]]
