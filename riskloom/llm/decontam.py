@@ -254,19 +254,25 @@ def _contaminated(n_hit: Column) -> Column:
     return (n_hit > 0) & (SHARE * n_hit >= F.col("n_words"))
 
 
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows, written with a number each, and the name of its column."""
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    return materialise(docs.withColumn(row, F.monotonically_increasing_id()), "decontamination-rows"), row
+
+
 def without_contaminated(docs: DataFrame, items: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     """``docs`` (doc_id, text and any others) without contaminated documents;
-    all others stay whole. Rows without an id are judged one part at a time,
-    if the benchmark has several."""
+    all others stay whole. Each row is judged by itself and once, by the hits
+    of all parts of the benchmark."""
     parts = read_parts(items, part_bytes=part_bytes)
     first, second = next(parts), next(parts, None)
     if second is None:
         return _kept(docs, first)
-    found = matches(docs.where("doc_id is not null"), chain((first, second), parts)).where(_contaminated(_hit_words()))
-    nameless = docs.where("doc_id is null")
-    for part in read_parts(items, part_bytes=part_bytes):
-        nameless = _kept(nameless, part)
-    return docs.where("doc_id is not null").join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns).unionByName(nameless)
+    rows, row = _numbered(docs)
+    found = matches(rows, chain((first, second), parts), id_col=row).where(_contaminated(_hit_words()))
+    return rows.join(found.select(F.col("doc_id").alias(row)), row, "left_anti").select(*docs.columns)
 
 
 def _kept(docs: DataFrame, benchmark: Benchmark) -> DataFrame:

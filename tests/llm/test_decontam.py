@@ -81,3 +81,24 @@ def test_a_benchmark_in_parts_gives_the_same(spark, sf):
     assert len(list(read_parts(items, part_bytes=3000))) > 2 and one == many and any(r["items"] for r in one)
     kept = [sorted(r["doc_id"] for r in without_contaminated(docs, items, b).collect()) for b in (1 << 20, 3000)]
     assert kept[0] == kept[1] and len(kept[0]) < docs.count()
+
+
+def in_two_parts(spark):
+    """Two items of 13 words that ``part_bytes`` puts in different parts."""
+    items = spark.createDataFrame([(n, " ".join(f"{w}{i}" for i in range(13))) for n, w in ((1, "a"), (2, "b"))], "item_id long, text string")
+    first, second = (r["text"] for r in items.collect())
+    for part_bytes in range(20, 60):
+        found = [{bool(p.hits(first.encode())[1]) * 1, bool(p.hits(second.encode())[1]) * 2} - {0} for p in read_parts(items, part_bytes=part_bytes)]
+        if {1} in found and {2} in found:
+            return items, first, second, part_bytes
+    raise AssertionError("no size parts the items")
+
+
+def test_rows_are_judged_alike_at_all_benchmark_sizes(spark):
+    items, first, second, part_bytes = in_two_parts(spark)
+    both = f"{first} {'clean ' * 374}{second}"
+    rows = [(None, both, 0), (None, f"{first} {'clean ' * 374}", 1), (7, both, 2), (7, "a clean text", 3), (7, None, 4), (None, None, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row int")
+    for size in (1 << 20, part_bytes):
+        kept = without_contaminated(docs, items, size)
+        assert kept.columns == docs.columns and sorted(r["_row"] for r in kept.collect()) == [1, 3, 4, 5]
