@@ -223,27 +223,43 @@ def cut_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def remove_spans(docs: DataFrame, benchmark: Benchmark, text_col: str = "text", least_words: int = WINDOW, share: int = SHARE) -> DataFrame:
+def remove_spans(docs: DataFrame, benchmark: Benchmark | Iterable[Benchmark], text_col: str = "text", least_words: int = WINDOW, share: int = SHARE) -> DataFrame:
     """``docs`` with all columns, without contaminated documents (hit words are a
     ``share``-th of all or more) and, in the rest, without hit spans of
-    ``least_words`` words or more.  Null texts stay."""
-    sent = docs.sparkSession.sparkContext.broadcast(benchmark)
-    place = docs.columns.index(text_col)
+    ``least_words`` words or more.  Null texts stay.  A benchmark in several
+    parts counts as one."""
+    parts = iter([benchmark] if isinstance(benchmark, Benchmark) else benchmark)
+    first, second = next(parts, None), next(parts, None)
+    if first is None:
+        return docs
+    names, place = docs.columns, docs.columns.index(text_col)
+    if second is None:
+        rows, sent = docs, docs.sparkSession.sparkContext.broadcast(first)
+    else:
+        rows, row = _numbered(docs)
+        found = matches(rows, chain((first, second), parts), id_col=row, text_col=text_col).where(F.size("spans") > 0)
+        n_words, spans = f"{row}n", f"{row}spans"
+        while {n_words, spans} & set(docs.columns):
+            n_words, spans = n_words + "_", spans + "_"
+        found = found.select(F.col("doc_id").alias(row), F.col("n_words").alias(n_words), F.col("spans").alias(spans))
+        rows, sent = rows.join(found, row, "left").select(*docs.columns, n_words, spans), None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hits = sent.value.hits
         for batch in batches:
             kept, texts = [], []
-            for text in batch.column(place).to_pylist():
-                data = None if text is None else text.encode()
-                n, spans, _ = hits(data)
+            data = [None if text is None else text.encode() for text in batch.column(place).to_pylist()]
+            if sent is not None:
+                judged = [sent.value.hits(text)[:2] for text in data]
+            else:
+                judged = [(n or 0, [(s["start"], s["end"]) for s in own or ()]) for n, own in zip(batch.column(-2).to_pylist(), batch.column(-1).to_pylist(), strict=True)]
+            for text, before, (n, spans) in zip(data, batch.column(place).to_pylist(), judged, strict=True):
                 kept.append(not is_contaminated(n, spans, share))
                 long = [(a, b) for a, b in spans if b - a >= least_words]
-                texts.append(cut_spans(data, long).decode("utf-8", "replace") if long else text)
-            columns = [pa.array(texts, c.type) if i == place else c for i, c in enumerate(batch.columns)]
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(kept, pa.bool_()))
+                texts.append(cut_spans(text, long).decode("utf-8", "replace") if long else before)
+            columns = [pa.array(texts, c.type) if i == place else c for i, c in enumerate(batch.columns[: len(names)])]
+            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(kept, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, docs.schema)
 
 
 def _hit_words() -> Column:

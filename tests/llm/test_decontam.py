@@ -102,3 +102,12 @@ def test_rows_are_judged_alike_at_all_benchmark_sizes(spark):
     for size in (1 << 20, part_bytes):
         kept = without_contaminated(docs, items, size)
         assert kept.columns == docs.columns and sorted(r["_row"] for r in kept.collect()) == [1, 3, 4, 5]
+
+
+def test_spans_go_alike_at_all_benchmark_sizes(spark):
+    items, first, second, part_bytes = in_two_parts(spark)
+    rows = [(1, f"Before {first}; {'clean ' * 800}{second} after", "x"), (1, f"{first} {'clean ' * 374}{second}", "y"), (None, None, "z"), (2, "clean", "w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans string")
+    for size in (1 << 20, part_bytes):
+        kept = remove_spans(docs, read_parts(items, part_bytes=size))
+        assert kept.columns == docs.columns and sorted(map(tuple, kept.collect()), key=str) == sorted([(1, f"Before ; {'clean ' * 800} after", "x"), (None, None, "z"), (2, "clean", "w")], key=str)
