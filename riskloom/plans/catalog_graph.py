@@ -117,3 +117,22 @@ def deepwalk_embeddings(spark, sf):
     walks = graph.random_walks(graph.undirected(nation_edges(spark, sf)), passes=4, steps=8)
     vectors = graph.walk_embeddings(walks, size=16)
     return vectors.select("node", F.size("vector").alias("size"))
+
+
+def user_merchant_edges(spark, sf):
+    """Both directions between all users and their merchants, which stand as
+    negative numbers, so that no user's id meets them."""
+    rows = graph.bipartite_edges(payments(spark, sf), "uid", "merchant")
+    return graph.undirected(rows.select(F.col("uid").cast("long").alias("src"), (-F.col("node")).cast("long").alias("dst"), F.col("ratio").alias("weight")))
+
+
+@query()
+def user_merchant_walks(spark, sf, passes=80, steps=40):
+    """The walks of DeepWalk over users and merchants."""
+    return graph.random_walks(user_merchant_edges(spark, sf), passes, steps).select("walk", "pass", "start", "nodes")
+
+
+@query()
+def user_merchant_embeddings(spark, sf, passes=80, steps=40, size=64, window=5):
+    """DeepWalk vectors of all users and merchants."""
+    return graph.walk_embeddings(user_merchant_walks(spark, sf, passes, steps), size, window)

@@ -73,3 +73,15 @@ def test_terms_of_all_turns(spark, sf, tmp_path):
         assert got == pytest.approx({k: x / math.sqrt(length[k[:2]]) for k, x in weight.items()}, abs=2e-6)
         pairs = Counter(w for words in tokens.values() for w in {*words, *map(" ".join, zip(words, words[1:], strict=False))})
         assert dict(rows(spark, folder, "whole_ngram_df")) == {w: n for w, n in pairs.items() if 5 <= n <= 0.8 * len(own)}
+
+
+def test_walks_and_vectors_of_all_users_and_merchants(spark, sf):
+    lines = connect(sf).execute("SELECT DISTINCT o_custkey, l_suppkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey").fetchall()
+    users, merchants = {u for u, _ in lines}, {m for _, m in lines}
+    code = {m: -1_000_000 - i for i, m in enumerate(sorted(merchants, key=str))}
+    edges = {(u, code[m]) for u, m in lines}
+    got = [tuple(r) for r in QUERIES["user_merchant_walks"](spark, sf, steps=4).collect()]
+    assert Counter(r[2] for r in got) == dict.fromkeys(users | set(code.values()), 80)
+    assert all(len(r[3]) == 4 and all((max(e), min(e)) in edges for e in zip(r[3], r[3][1:], strict=False)) for r in got)
+    vectors = QUERIES["user_merchant_embeddings"](spark, sf, passes=2, steps=4).collect()
+    assert {int(r["node"]) for r in vectors} == users | set(code.values()) and {len(r["vector"]) for r in vectors} == {64}
