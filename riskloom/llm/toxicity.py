@@ -9,9 +9,11 @@ drift, so that the expected score of clean text is negative.
 
 Scoring: one linear scan finds all maximal scoring segments of a text.  The
 Karlin-Altschul parameters of the clean token scores turn a segment's score
-into a significance; the sum of the highest segments' normalised scores, an
-extreme value, is mapped to a probability by a logistic curve fitted on the
-same sample.
+into a significance; the chance of the sum of the highest segments' normalised
+scores is mapped to a probability by a logistic curve fitted on the same
+sample.  lambda is exact for independent tokens; K is the bound by single
+tokens, which is no less than the true one, so passages are never called
+more significant than they are.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ MIN_TOXIC_DOCUMENTS = 3
 DRIFT = 1.0
 SIGNIFICANT = 0.01
 REMEMBERED = 400_000
+EVIDENCE = 50.0
+RIDGE = 1e-3
 THRESHOLD = 0.7
 
 _SEPARATORS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -125,12 +129,24 @@ class ToxicityModel:
         return float(-np.expm1(-self.k * max(n, 1) * np.exp(-self.lam * score)))
 
     def extreme(self, n: int, scores: list[float]) -> float:
-        """The best sum of the r highest segments in units of the extreme-value
-        distribution, over all r; zero where chance explains them."""
+        """Minus the log of the chance that clean text of ``n`` words has so high a
+        sum of its r highest segments, for the r that makes it least likely.
+
+        In extreme-value units the sum t of r scores is reached by a chance of
+        exp(-t) t^(r-1) / (r! (r-1)!), which holds for t >= r; smaller sums say
+        nothing.  Beyond ``EVIDENCE`` no chance is told from another, so a text
+        that repeats one weighted word for ever counts as one sure case.
+        """
         if not len(scores):
             return 0.0
         over = self.lam * np.sort(scores)[::-1] - np.log(max(1.0, self.k * max(n, 1)))
-        return max(0.0, float((np.cumsum(over) + np.cumsum(np.log(np.arange(1, len(over) + 1)))).max()))
+        total, r = np.cumsum(over), np.arange(1, len(over) + 1)
+        log_factorial = np.cumsum(np.log(r))
+        holds = total >= r
+        if not holds.any():
+            return float(np.clip(over[0], 0.0, EVIDENCE))
+        value = total - (r - 1) * np.log(np.where(holds, total, 1.0)) + 2 * log_factorial - np.log(r)
+        return float(np.clip(value[holds].max(), 0.0, EVIDENCE))
 
     def probability(self, x: float) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.level + self.slope * x, -30, 30))))
@@ -142,7 +158,7 @@ class ToxicityModel:
 
 
 def _karlin(values: np.ndarray, chances: np.ndarray) -> tuple[float, float]:
-    """The positive root of E exp(lam s) = 1, and K by the tail bound on single tokens."""
+    """The positive root of E exp(lam s) = 1, and an upper bound of K from the tail of single tokens."""
     if values.max() <= 0:
         return 1.0, 1.0
     low, high = 0.0, 1.0
@@ -156,18 +172,27 @@ def _karlin(values: np.ndarray, chances: np.ndarray) -> tuple[float, float]:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and level by Newton steps, with a weak ridge and half a case of each label."""
-    x, y, w = np.append(x, [0.0, x.max(initial=0) + 1]), np.append(y, [0.0, 1.0]), np.append(np.ones(len(x)), [0.5, 0.5])
-    beta = np.zeros(2)
+    """Slope and level of the least penalised loss: Newton steps, halved until
+    the loss falls (plain ones run away where the labels are nearly separable).
+    A weak ridge and half a case of each label keep it finite."""
+    x, y, w = np.append(x, [0.0, EVIDENCE]), np.append(y, [0.0, 1.0]), np.append(np.ones(len(x)), [0.5, 0.5])
     design = np.stack([x, np.ones_like(x)], axis=1)
-    for _ in range(40):
-        p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
-        gradient = design.T @ (w * (y - p)) - 1e-3 * beta
-        hessian = (design * (w * p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(2)
-        step = np.linalg.solve(hessian, gradient)
-        beta += np.clip(step, -2, 2)
-        if abs(step).max() < 1e-8:
+
+    def loss(beta: np.ndarray) -> float:
+        z = design @ beta
+        return float((w * (np.logaddexp(0, z) - y * z)).sum() + RIDGE / 2 * beta @ beta)
+
+    beta = np.zeros(2)
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-np.clip(design @ beta, -500, 500)))
+        gradient = design.T @ (w * (y - p)) - RIDGE * beta
+        hessian = (design * (w * p * (1 - p))[:, None]).T @ design + RIDGE * np.eye(2)
+        step, before = np.linalg.solve(hessian, gradient), loss(beta)
+        while loss(beta + step) > before and abs(step).max() > 1e-9:
+            step = step / 2
+        if abs(step).max() <= 1e-9:
             break
+        beta = beta + step
     return max(float(beta[0]), 0.0), float(beta[1])
 
 
@@ -197,20 +222,22 @@ def fit(sample: DataFrame) -> ToxicityModel:
         for batch in batches:
             out = []
             for text in batch.column(0).to_pylist():
-                scores = list(map(odds.__getitem__, words_of(text)))
-                hits = [s for s in scores if s > -DRIFT]
+                words = words_of(text)
+                scores = list(map(odds.__getitem__, words))
+                distinct = set(words)
+                hits = [odds[w] for w in distinct if odds[w] > -DRIFT]
                 found = [s for _, _, s in segments(scores)] if hits and max(hits) > 0 else []
-                out.append((len(scores), found, hits))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64())))] + [batch.column(1)], names=["n", "found", "hits", "label"]
-            )
+                out.append((len(scores), len(distinct), found, hits))
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*(pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)), batch.column(1)], names=["n", "distinct", "found", "hits", "label"])
 
-    seen = sample.mapInArrow(scan, "n long, found array<double>, hits array<double>, label int").toPandas()
+    seen = sample.mapInArrow(scan, "n long, distinct long, found array<double>, hits array<double>, label int").toPandas()
     if not len(seen) or not weights:
         rate = (toxic + 0.5) / (toxic + clean + 1) if n else 0.1
         return ToxicityModel(weights, 1.0, 1.0, 0.0, float(np.log(rate / (1 - rate))) if weights or n else -2.0)
+    # A word counts once in a text, so that one text that repeats it does not make it common.
     hits = Counter(h for row in seen["hits"][seen["label"] == 0] for h in row)
-    words = max(int(seen["n"][seen["label"] == 0].sum()), 1)
+    words = max(int(seen["distinct"][seen["label"] == 0].sum()), 1)
     for w in weights.values():  # every weight may come by chance, however seldom
         hits[w - DRIFT] += 0.5 / len(weights)
     values = np.array([-DRIFT, *hits])
@@ -262,24 +289,33 @@ def op6_toxicity(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_rows(docs: DataFrame, keep, text_col: str = "text") -> DataFrame:
-    """The rows whose text ``keep()(bytes or None)`` accepts, with all their columns; a narrow map."""
+    """The rows whose texts ``keep()`` accepts, with all their columns; a narrow map.
+
+    ``keep()`` gives a function from the texts (bytes or None) of a batch to
+    one truth value each.
+    """
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         test = keep()
         for batch in batches:
             texts = batch.column(place).cast(pa.binary()).to_pylist()
-            yield batch.filter(pa.array(list(map(test, texts)), pa.bool_()))
+            yield batch.filter(pa.array(test(texts), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
 
 def toxicity_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the model, fitted on the labels of ``docs``, predicts as toxic."""
+    """Drops the documents that the model, fitted on the labels of ``docs``, predicts as toxic.
+
+    Every row is judged by its own text, null or empty as a text without hits,
+    whatever its id; repeated rows stay or go together; all columns are kept;
+    no rows give no rows.
+    """
     sent = spark.sparkContext.broadcast(fit_tables(spark, sf_dir, docs))
 
     def keep():
         judge = sent.value.judge
-        return lambda text: judge(text)[0] < THRESHOLD
+        return lambda texts: [judge(text)[0] < THRESHOLD for text in texts]
 
     return keep_rows(docs, keep)

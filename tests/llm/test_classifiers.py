@@ -39,16 +39,65 @@ def test_all_maximal_segments(scores):
     assert [x[2] for x in got] == pytest.approx([x[2] for x in maximal_segments(scores)])
 
 
-def accuracy(spark, sf, query, target):
+def held_out(spark, sf, query, target):
     rows = query(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").select("predicted", F.col(target).alias("y")).collect()
     assert len(rows) > 50
-    return np.mean([r["predicted"] == r["y"] for r in rows])
-
-
-def test_held_out_accuracy(spark, sf):
-    sf = sf.replace("sf0.001", "sf0.01")
-    assert accuracy(spark, sf, toxicity.op6_toxicity, "toxic") > 0.9
-    assert accuracy(spark, sf, quality.op7_quality, "quality") > 0.95
+    return np.array([r["predicted"] for r in rows]), np.array([r["y"] for r in rows])
+
+
+def test_held_out_recall(spark, sf):
+    """Of either label: a model that never says "toxic" is right on nine in ten.
+    Some toxic texts hold words that no text of so small a sample has."""
+    sf = sf.replace("sf0.001", "sf0.1")
+    for query, target, least in ((toxicity.op6_toxicity, "toxic", 0.85), (quality.op7_quality, "quality", 0.95)):
+        predicted, y = held_out(spark, sf, query, target)
+        assert (predicted[y == 1] == 1).mean() > least
+        assert (predicted[y == 0] == 0).mean() > 0.95
+
+
+def test_calibration_does_not_run_away():
+    """Nearly separable scores with a heavy tail: the curve is that of a plain
+    descent, and toxic texts are told apart in every sample."""
+    random = np.random.default_rng(3)
+    for trial in range(40):
+        n = int(random.integers(300, 6000))
+        y = (random.random(n) < 0.12).astype(float)
+        x = np.where(y == 1, np.minimum(random.lognormal(3.2, 0.9, n) + 12, toxicity.EVIDENCE), np.maximum(random.normal(-3, 3, n), 0))
+        x, y = np.append(x, [toxicity.EVIDENCE] * (trial % 3)), np.append(y, [0.0] * (trial % 3))
+        slope, level = toxicity._logistic(x, y)
+        p = 1 / (1 + np.exp(-np.clip(level + slope * x, -500, 500)))
+        assert (p[y == 1] >= toxicity.THRESHOLD).mean() > 0.9 and (p[:n][y[:n] == 0] >= toxicity.THRESHOLD).mean() < 0.01
+        gradient = np.array([x @ (y - p), (y - p).sum()])
+        assert abs(gradient).max() < 40  # the ridge and half a case at either end are all that pulls elsewhere
+
+
+def test_long_clean_text_with_repeats_is_no_toxic_text_and_spoils_no_fit(spark):
+    random = np.random.default_rng(1)
+    plain, vile = [f"plain{i}" for i in range(300)], [f"vile{i}" for i in range(12)]
+
+    def text(n, bad):
+        words = list(random.choice(plain, n))
+        for _ in range(bad):
+            words.insert(int(random.integers(len(words))), str(random.choice(vile)))
+        return " ".join(words).encode()
+
+    rows = [(text(60, 0), 0) for _ in range(300)] + [(text(60, 12), 1) for _ in range(60)]
+    rows += [((b"vile0 " * 3000 + text(20_000, 0)), 0), (text(20_000, 0), 0)]
+    model = toxicity.fit(spark.createDataFrame(rows, "text binary, label int"))
+    toxic, clean = [text(60, 12) for _ in range(100)], [text(60, 0) for _ in range(100)]
+    assert np.mean([model.judge(t)[0] >= toxicity.THRESHOLD for t in toxic]) > 0.9
+    assert np.mean([model.judge(t)[0] >= toxicity.THRESHOLD for t in clean]) < 0.05
+
+
+def test_sum_statistic():
+    """The chance of one segment is exp(-x); weak segments add nothing, strong ones more than their sum's own formula."""
+    model = toxicity.ToxicityModel({}, 1.0, 1.0)
+    assert model.extreme(1, []) == 0.0 and model.extreme(1, [-2.0]) == 0.0
+    assert model.extreme(1, [7.0]) == pytest.approx(7.0)
+    assert model.extreme(1, [7.0, 0.1]) == pytest.approx(7.0)
+    assert model.extreme(1, [7.0, 6.0]) == pytest.approx(13 - np.log(13) + np.log(2))
+    assert model.extreme(20_000, [3.0] * 600) == 0.0  # ln 20,000 is 9.9
+    assert model.extreme(1, [9.0] * 600) == toxicity.EVIDENCE
 
 
 def test_passages(spark):
@@ -97,5 +146,5 @@ def test_awkward_rows(spark):
         out = (toxicity.judged if module is toxicity else quality.scored)(docs, model).collect()
         assert len(out) == len(cases.TEXTS) and all(0 <= r["score"] <= 1 for r in out)
     assert toxicity.judged(cases.empty(spark), toxicity.fit(sample)).count() == quality.scored(cases.empty(spark), quality.fit(sample)).count() == 0
-    kept = toxicity.keep_rows(docs, lambda: lambda t: t is None or len(t) > 3)
+    kept = toxicity.keep_rows(docs, lambda: lambda texts: [t is None or len(t) > 3 for t in texts])
     assert kept.columns == docs.columns and kept.count() == sum(t is None or len(t.encode()) > 3 for _, t in cases.TEXTS)
