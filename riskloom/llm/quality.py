@@ -62,6 +62,11 @@ def statistics(text: bytes | None) -> tuple[float, ...]:
     )
 
 
+def statistics_of(texts: list[bytes | None]) -> np.ndarray:
+    """One row of ``STATISTICS`` per text."""
+    return np.array(list(map(statistics, texts)), float).reshape(-1, len(STATISTICS))
+
+
 class BoostedTrees:
     """Flat arrays of complete binary trees: node i of a tree has children 2i + 1 and 2i + 2."""
 
@@ -156,8 +161,8 @@ def scored(docs: DataFrame, model: BoostedTrees, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array(list(map(statistics, batch.column(1).to_pylist()))).reshape(-1, len(STATISTICS))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sent.value.probability(x))], names=["doc_id", "score"])
+            scores = sent.value.probability(statistics_of(batch.column(1).to_pylist()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], names=["doc_id", "score"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"doc_id {kind}, score double")
@@ -180,11 +185,16 @@ def op7_quality(spark, sf_dir: str) -> DataFrame:
 
 
 def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the model, fitted on the labels of ``docs``, predicts as poor."""
+    """Drops the documents that the model, fitted on the labels of ``docs``, predicts as poor.
+
+    Every row is judged by its own text, null as an empty one, whatever its
+    id, and a batch walks all trees at once; repeated rows stay or go
+    together; all columns are kept; no rows give no rows.
+    """
     sent = spark.sparkContext.broadcast(fit_tables(spark, sf_dir, docs))
 
     def keep():
         model = sent.value
-        return lambda text: model.probability(np.array([statistics(text)]))[0] >= THRESHOLD
+        return lambda texts: model.probability(statistics_of(texts)) >= THRESHOLD
 
     return keep_rows(docs, keep)
