@@ -18,9 +18,8 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from riskloom.llm.common import partitions, table
 from riskloom.llm.components import components
@@ -54,9 +53,10 @@ def fingerprint(text: bytes | None) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The text, the last column, becomes its fingerprint."""
     for batch in batches:
-        marks = np.fromiter(map(fingerprint, batch.column(1).to_pylist()), np.uint64, batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks.view(np.int64))], names=["doc_id", "mark"])
+        marks = np.fromiter(map(fingerprint, batch.columns[-1].to_pylist()), np.uint64, batch.num_rows)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(marks.view(np.int64))], names=[*batch.schema.names[:-1], "mark"])
 
 
 # ------------------------------------------------------------ trie self-join
@@ -183,16 +183,10 @@ def link_marks(marks: DataFrame) -> DataFrame:
     )
 
 
-def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, mark), and for each mark its smallest id, its root and the
-    smallest id of its component."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    marked = materialise(rows.mapInArrow(_fingerprints, "doc_id long, mark long"), "fingerprints")
-    classes = materialise(marked.groupBy("mark").agg(F.min("doc_id").alias("least")), "classes")
+def _rooted(classes: DataFrame) -> DataFrame:
+    """``classes`` (distinct mark, ...) with the smallest mark of the component as ``root``."""
     roots = components(link_marks(classes)).withColumnRenamed("node", "mark")
-    rooted = classes.join(roots, "mark", "left").select("mark", "least", F.coalesce("root", "mark").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return marked, rooted.join(smallest, "root").select("mark", "least", "root", "component_id")
+    return classes.join(roots, "mark", "left").withColumn("root", F.coalesce("root", "mark"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -204,37 +198,44 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     never the smallest (a component of null ids only is null); repeated rows
     stay; other columns are ignored; no rows give no rows.
     """
-    marked, named = _classes(docs, id_col, text_col)
-    return marked.join(named.drop("least"), "mark").select(
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    marked = materialise(rows.mapInArrow(_fingerprints, "doc_id long, mark long"), "fingerprints")
+    rooted = _rooted(materialise(marked.groupBy("mark").agg(F.min("doc_id").alias("least")), "classes"))
+    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = rooted.join(smallest, "root").select("mark", "component_id")
+    return marked.join(named, "mark").select(
         "doc_id", F.lpad(F.lower(F.hex("mark")), 16, "0").alias("fingerprint"), "component_id"
     )
 
 
+def _row_key(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    """A digest of the whole row; rows with one key are equal in all columns
+    (in columns that have no order, such as maps, they may differ)."""
+    others = [F.col(f"`{f.name}`") for f in docs.schema.fields if f.name not in (id_col, text_col) and "map<" not in f.dataType.simpleString()]
+    parts = [F.col(id_col).cast("string"), F.md5(F.col(text_col).cast("string").cast("binary")), *([F.xxhash64(*others).cast("string")] if others else [])]
+    return F.md5(F.concat_ws(" ", *(F.coalesce(p, F.lit("-")) for p in parts)).cast("binary"))
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with all columns and one row of each component: the one with
-    the smallest id (any one, if that id repeats in it), or, in a component of
-    null ids only, any one.  Rows are found by id and fingerprint, as one id
-    may stand in several components."""
-    _, named = _classes(docs, id_col, text_col)
-    shown = "_mark"
-    while any(c.startswith(shown) for c in docs.columns):
-        shown += "_"
-    place = docs.columns.index(text_col)
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(place).to_pylist()
-            marks = np.fromiter((fingerprint(None if t is None else t.encode()) for t in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks.view(np.int64))], names=[*batch.schema.names, shown])
-
-    def with_marks(rows: DataFrame) -> DataFrame:
-        return rows.mapInArrow(mark, T.StructType([*docs.schema.fields, T.StructField(shown, T.LongType())]))
-
-    first = named.where(F.col("least") == F.col("component_id")).groupBy("root").agg(F.min("mark").alias(shown), F.first("component_id").alias(id_col)).drop("root")
-    kept = with_marks(docs.where(F.col(id_col).isNotNull())).join(first, [id_col, shown], "left_semi").dropDuplicates([id_col, shown])
-    alone = named.where("component_id is null").select(F.col("mark").alias(shown), F.col("root").alias(shown + "root"))
-    nameless = with_marks(docs.where(F.col(id_col).isNull())).join(alone, shown).dropDuplicates([shown + "root"])
-    return kept.select(*docs.columns).unionByName(nameless.select(*docs.columns))
+    """``docs`` with all columns and one row of each component: the one with the
+    smallest id (null ids come last), of rows with that id the one with the
+    smallest digest, so every run keeps the same.  An id may stand on unlike
+    texts: rows are told apart by a digest of all columns.
+
+    Texts without words are one component; repeated rows are one; no rows give
+    no rows.  The choice is made on (id, digest, fingerprint) alone; texts are
+    read twice and shuffled once at most.
+    """
+    key = "_key"
+    while key in docs.columns:
+        key += "_"
+    keyed = docs.withColumn(key, _row_key(docs, id_col, text_col))
+    rows = keyed.select(F.col(id_col).cast("long").alias("doc_id"), F.col(key).alias("key"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    marked = materialise(rows.mapInArrow(_fingerprints, "doc_id long, key string, mark long"), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "key"))
+    classes = materialise(marked.groupBy("mark").agg(first.alias("first")), "classes")
+    kept = _rooted(classes).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias(key))
+    return keyed.join(kept, key, "left_semi").dropDuplicates([key]).select(*docs.columns)
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
@@ -242,4 +243,5 @@ def op3_simhash(spark, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one row of each component of linked fingerprints; cases as in ``one_of_each``."""
     return one_of_each(docs)

@@ -96,3 +96,12 @@ def test_one_id_in_two_components_keeps_one_of_each(spark):
     for order in (rows, rows[::-1]):
         kept = one_of_each(spark.createDataFrame(order, "doc_id long, text string").coalesce(1)).collect()
         assert sorted(map(tuple, kept)) == [rows[0], rows[2], rows[4]]
+
+
+def test_unlike_texts_under_one_id_all_stay(spark):
+    a, b, c = "the first text of this id", "one more that differs in all its words", "something else altogether here"
+    for rows in ([(5, b, "x"), (5, a, "x"), (3, b, "x")], [(5, a, "x"), (5, b, "x")], [(None, a, "x"), (None, b, "y"), (None, b, "x"), (None, c, None)], [(5, a, "x"), (5, a, "y"), (5, a, "x")]):
+        kept = [sorted(map(tuple, one_of_each(spark.createDataFrame(order, "doc_id long, text string, _key string").repartition(n)).collect()), key=str) for order in (rows, rows[::-1]) for n in (1, 3)]
+        assert all(k == kept[0] for k in kept) and [r[1] for r in kept[0]] == [r[1] for r in sorted({x[1]: x for x in kept[0]}.values(), key=str)]
+        assert {r[1] for r in kept[0]} == {r[1] for r in rows} and set(kept[0]) <= set(rows)
+    assert (3, b, "x") in [tuple(r) for r in one_of_each(spark.createDataFrame([(5, b, "x"), (5, a, "x"), (3, b, "x")], "doc_id long, text string, _key string")).collect()]
