@@ -5,20 +5,23 @@ tracks the longest match that ends there.  A match of a window's length marks
 the window's words; the items that hold a window are known for each state.
 
 An automaton is only sent to the tasks for ``PART_BYTES`` of items; a larger
-benchmark is cut into parts by hash, and the texts pass through one part after
-the other.
+benchmark is cut into parts by hash, an item that is larger by itself into
+pieces that share a window less a word.  Each part reads the texts and gives
+the hits of its own; the hits of all parts meet by row before any judgement,
+so the parts do not show in the results.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterable, Iterator
+from functools import reduce
 from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskloom.llm.common import table
 from riskloom.llm.toxicity import keep_rows
@@ -140,6 +143,20 @@ class Benchmark:
         return len(words), spans, names
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], part_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Items (name, text) over ``part_bytes`` in pieces, which hold the same windows."""
+    for batch in batches:
+        out = []
+        for name, text in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
+            words = words_of(text) if len(text or b"") > part_bytes else []
+            if len(words) <= WINDOW:
+                out.append((name, text))
+                continue
+            step = max(1, part_bytes * len(words) // len(text))
+            out += [(name, b" ".join(words[at : at + step + WINDOW - 1])) for at in range(0, len(words) - WINDOW + 1, step)]
+        yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in out], pa.string()), pa.array([t for _, t in out], pa.binary())], names=["name", "text"])
+
+
 def read_parts(items: DataFrame, id_col: str = "item_id", text_col: str = "text", part_bytes: int = PART_BYTES) -> Iterator[Benchmark]:
     """The benchmark, in parts of about ``part_bytes`` of text (one part, if it is that small).
 
@@ -147,25 +164,19 @@ def read_parts(items: DataFrame, id_col: str = "item_id", text_col: str = "text"
     under the empty name; repeated items count once per id.
     """
     text = F.col(text_col).cast("string").cast("binary")
+    rows = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("name"), text.alias("text")).distinct()
     size = items.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
     parts = max(1, -(-size // part_bytes))
-    rows = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("name"), text.alias("text")).distinct()
+    if parts > 1:
+        pieces = rows.mapInArrow(lambda batches: _pieces(batches, part_bytes), "name string, text binary")
+        rows = materialise(pieces.withColumn("part", F.pmod(F.xxhash64("name", "text"), F.lit(parts))), "benchmark", "part")
     for i in range(parts):
-        own = rows.where(F.pmod(F.xxhash64("name", "text"), F.lit(parts)) == i).collect()
+        own = (rows.where(F.col("part") == i) if parts > 1 else rows).select("name", "text").collect()
         yield Benchmark(sorted((r[0], bytes(r[1]) if r[1] is not None else b"") for r in own))
 
 
-def merged_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
-
-
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+_SPANS_TYPE = "array<struct<start:int,end:int>>"
 
 
 def matches(docs: DataFrame, benchmark: Benchmark | Iterable[Benchmark], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -174,33 +185,59 @@ def matches(docs: DataFrame, benchmark: Benchmark | Iterable[Benchmark], id_col:
 
     A null or empty text has no words; null ids and repeated rows stay; other
     columns are ignored; no rows give no rows; with no items nothing is hit.
-    A narrow map, with the rows written in between if there are several parts.
+    A narrow map for one part.  For more, (id, text) is written once with row
+    numbers, each part writes the rows that it hits, and these join by number.
     """
-    rows = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"), F.lit(0).cast("long").alias("n_words"),
-        F.array().cast("array<struct<start:int,end:int>>").alias("spans"), F.array().cast("array<string>").alias("items"),
-    )
-    for i, part in enumerate([benchmark] if isinstance(benchmark, Benchmark) else benchmark):
-        rows = _marked(materialise(rows, "decontamination") if i else rows, part)
-    return rows.drop("text")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    parts = iter([benchmark] if isinstance(benchmark, Benchmark) else benchmark)
+    first, second = next(parts, None), next(parts, None)
+    first = Benchmark([]) if first is None else first
+    if second is None:
+        return _hits(rows, first).select("doc_id", "n_words", "spans", "items")
+    rows, row = _numbered(rows)
+    return _all_hits(rows, row, chain((first, second), parts)).drop(row)
 
 
-def _marked(rows: DataFrame, benchmark: Benchmark) -> DataFrame:
-    """The rows with the spans and items of one more part."""
+def _all_hits(rows: DataFrame, row: str, parts: Iterator[Benchmark]) -> DataFrame:
+    """doc_id, ``row``, n_words, spans, items of numbered rows (doc_id, text), by all parts."""
+    found = [materialise(_hits(rows, next(parts), row), "decontamination-hits")]
+    for part in parts:
+        found.append(materialise(_hits(rows, part, row).where(F.size("items") > 0).drop("doc_id", "n_words"), "decontamination-hits"))
+    more = reduce(DataFrame.unionAll, found[1:]).groupBy(row).agg(F.flatten(F.collect_list("spans")).alias("more_spans"), F.flatten(F.collect_list("items")).alias("more_items"))
+    joined = found[0].join(more, row, "left")
+    spans = F.concat("spans", F.coalesce("more_spans", F.array().cast(_SPANS_TYPE)))
+    items = F.array_sort(F.array_distinct(F.concat("items", F.coalesce("more_items", F.array().cast("array<string>")))))
+    return joined.select("doc_id", row, "n_words", _merged(spans).alias("spans"), items.alias("items"))
+
+
+def _merged(spans: Column) -> Column:
+    """Spans that overlap or touch as one."""
+
+    def add(out: Column, s: Column) -> Column:
+        last = F.element_at(out, -1)
+        grown = F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))))
+        return F.when((F.size(out) > 0) & (s["start"] <= F.get(out, F.size(out) - 1)["end"]), grown).otherwise(F.array_append(out, s))
+
+    return F.aggregate(F.array_sort(spans), F.array().cast(_SPANS_TYPE), add)
+
+
+def _hits(rows: DataFrame, benchmark: Benchmark, row: str | None = None) -> DataFrame:
+    """What one part hits in rows (doc_id, text): doc_id, [row,] n_words, spans, items."""
     sent = rows.sparkSession.sparkContext.broadcast(benchmark)
+    own = ["doc_id", *([row] if row else [])]
+    rows = rows.select(*own, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hits = sent.value.hits
         for batch in batches:
-            found = list(map(hits, batch.column(1).to_pylist()))
-            spans = [merged_spans([(s["start"], s["end"]) for s in before] + new) if before else new for before, (_, new, _) in zip(batch.column(3).to_pylist(), found, strict=True)]
-            names = [sorted(new.union(before)) for before, (_, _, new) in zip(batch.column(4).to_pylist(), found, strict=True)]
+            found = list(map(hits, batch.columns[-1].to_pylist()))
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), batch.column(1), pa.array([n for n, _, _ in found], pa.int64()),
-                pa.array([[{"start": a, "end": b} for a, b in x] for x in spans], _SPANS), pa.array(names, pa.list_(pa.string())),
-            ], names=batch.schema.names)
+                *batch.columns[:-1], pa.array([n for n, _, _ in found], pa.int64()),
+                pa.array([[{"start": a, "end": b} for a, b in x] for _, x, _ in found], _SPANS), pa.array([sorted(x) for _, _, x in found], pa.list_(pa.string())),
+            ], names=[*own, "n_words", "spans", "items"])
 
-    return rows.mapInArrow(run, rows.schema)
+    schema = T.StructType([*rows.drop("text").schema.fields, *T.StructType.fromDDL(f"n_words long, spans {_SPANS_TYPE}, items array<string>").fields])
+    return rows.mapInArrow(run, schema)
 
 
 def is_contaminated(n_words: int, spans: list[tuple[int, int]], share: int = SHARE) -> bool:
@@ -237,11 +274,12 @@ def remove_spans(docs: DataFrame, benchmark: Benchmark | Iterable[Benchmark], te
         rows, sent = docs, docs.sparkSession.sparkContext.broadcast(first)
     else:
         rows, row = _numbered(docs)
-        found = matches(rows, chain((first, second), parts), id_col=row, text_col=text_col).where(F.size("spans") > 0)
+        texts = rows.select(F.lit(None).cast("long").alias("doc_id"), row, F.col(text_col).cast("string").cast("binary").alias("text"))
+        found = _all_hits(texts, row, chain((first, second), parts)).where(F.size("spans") > 0)
         n_words, spans = f"{row}n", f"{row}spans"
         while {n_words, spans} & set(docs.columns):
             n_words, spans = n_words + "_", spans + "_"
-        found = found.select(F.col("doc_id").alias(row), F.col("n_words").alias(n_words), F.col("spans").alias(spans))
+        found = found.select(row, F.col("n_words").alias(n_words), F.col("spans").alias(spans))
         rows, sent = rows.join(found, row, "left").select(*docs.columns, n_words, spans), None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,8 +325,9 @@ def without_contaminated(docs: DataFrame, items: DataFrame, part_bytes: int = PA
     if second is None:
         return _kept(docs, first)
     rows, row = _numbered(docs)
-    found = matches(rows, chain((first, second), parts), id_col=row).where(_contaminated(_hit_words()))
-    return rows.join(found.select(F.col("doc_id").alias(row)), row, "left_anti").select(*docs.columns)
+    texts = rows.select("doc_id", row, F.col("text").cast("string").cast("binary").alias("text"))
+    found = _all_hits(texts, row, chain((first, second), parts)).where(_contaminated(_hit_words()))
+    return rows.join(found.select(row), row, "left_anti").select(*docs.columns)
 
 
 def _kept(docs: DataFrame, benchmark: Benchmark) -> DataFrame:
@@ -296,7 +335,7 @@ def _kept(docs: DataFrame, benchmark: Benchmark) -> DataFrame:
 
     def keep():
         hits = sent.value.hits
-        return lambda text: not is_contaminated(*hits(text)[:2])
+        return lambda texts: [not is_contaminated(*hits(text)[:2]) for text in texts]
 
     return keep_rows(docs, keep)
 
@@ -315,4 +354,15 @@ def op9_decontamination(spark, sf_dir: str) -> DataFrame:
 
 
 def decontamination_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return without_contaminated(docs, table(spark, sf_dir, "benchmark"))
+    """Drops contaminated documents and cuts the hit spans of ``WINDOW`` words or
+    more from the others; n_chars, where there is one, is counted again.
+
+    Each row is judged by its own text, whatever its id; null and empty texts
+    stay; repeated rows stay or go together; all columns are kept; no rows
+    give no rows; with no items nothing is changed.
+    """
+    kept = remove_spans(docs, read_parts(table(spark, sf_dir, "benchmark")))
+    if "n_chars" not in docs.columns:
+        return kept
+    counted = F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars"))
+    return kept.withColumn("n_chars", counted)

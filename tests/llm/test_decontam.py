@@ -111,3 +111,14 @@ def test_spans_go_alike_at_all_benchmark_sizes(spark):
     for size in (1 << 20, part_bytes):
         kept = remove_spans(docs, read_parts(items, part_bytes=size))
         assert kept.columns == docs.columns and sorted(map(tuple, kept.collect()), key=str) == sorted([(1, f"Before ; {'clean ' * 800} after", "x"), (None, None, "z"), (2, "clean", "w")], key=str)
+
+
+def test_an_item_larger_than_a_part_keeps_its_windows(spark):
+    long = " ".join(f"v{i}" for i in range(400))
+    words = long.split()
+    items = spark.createDataFrame([(1, long), (2, "short one here")], "item_id long, text string")
+    texts = [" ".join(words[at : at + 13]) for at in range(0, 388, 3)] + [" ".join(words[at : at + 12]) for at in range(0, 388, 50)] + ["a short one here", long]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    one, many = (sorted(matches(docs, read_parts(items, part_bytes=b)).collect(), key=lambda r: r["doc_id"]) for b in (1 << 20, 300))
+    assert len(list(read_parts(items, part_bytes=300))) > 3 and one == many
+    assert [bool(r["items"]) for r in one] == [True] * 130 + [False] * 8 + [True, True]
