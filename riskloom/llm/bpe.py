@@ -249,7 +249,7 @@ class Encoder:
 class TokenizerFile:
     """A rank file and its pattern, as sent to the executors (under one MB)."""
 
-    _encoders: dict[int, Encoder] = {}
+    _encoders: dict[bytes, Encoder] = {}
 
     def __init__(self, content: bytes, pattern: str):
         self.content, self.pattern = content, pattern
@@ -261,7 +261,7 @@ class TokenizerFile:
 
     def encoder(self) -> Encoder:
         """One encoder for each worker process."""
-        key = hash((self.content, self.pattern))
+        key = hashlib.sha256(self.pattern.encode() + b"\0" + self.content).digest()
         if key not in self._encoders:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, self.content.splitlines())}
             self._encoders[key] = Encoder(ranks, self.pattern)
@@ -321,9 +321,7 @@ def decode_documents(encoded: DataFrame, tokenizer: TokenizerFile, id_col: str =
 
 
 def _digests(encoder: Encoder, text: str) -> tuple[int, str, str]:
-    ids = encoder.encode(text)
-    listed = ",".join(map(encoder.names.__getitem__, ids))
-    return len(ids), hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(encoder.decode(ids)).hexdigest()
+    return _encoded_digests(encoder, text)[1:]
 
 
 def round_trips(docs: DataFrame, tokenizer: TokenizerFile, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -338,5 +336,13 @@ def op2_bpe(spark, sf_dir: str) -> DataFrame:
     return round_trips(table(spark, sf_dir, "documents"), public_tokenizer())
 
 
+def _encoded_digests(encoder: Encoder, text: str) -> tuple[list[int], int, str, str]:
+    ids = encoder.encode(text)
+    listed = ",".join(map(encoder.names.__getitem__, ids))
+    return ids, len(ids), hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(encoder.decode(ids)).hexdigest()
+
+
 def encode_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return round_trips(docs, public_tokenizer())
+    """The corpus as tokens: doc_id, ids, and n_tokens and digests as in ``round_trips``; cases as in ``encode_documents``."""
+    columns = {"ids": pa.list_(pa.int32()), "n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
+    return _mapped(docs, public_tokenizer(), "doc_id", "text", columns, _encoded_digests)
