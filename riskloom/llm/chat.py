@@ -6,9 +6,11 @@ Control strings that occur in a text get a backslash (one more, if there are
 some already), so the written form can be read back too.  The loss mask is
 the running sum of +1 where an assistant text starts and -1 where it ends.
 
-Turns are encoded where they are read; a conversation's turns then meet in
-order and stream through in chunks of ``CHUNK_TURNS``, so one with a third of
-all rows needs no more memory than any other.
+Turns are dealt by ranges of (conversation, turn, role, text), so a
+conversation with a third of all rows spreads over many tasks, and stream
+through in order, in chunks of ``CHUNK_TURNS`` turns or ``CHUNK_BYTES``.  Only
+the digest of a conversation that several chunks hold is made in one task,
+which reads its chunks one by one, as a hash must.
 """
 
 from __future__ import annotations
@@ -19,13 +21,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm.bpe import TokenizerFile, as_text, public_tokenizer
 from riskloom.llm.common import partitions, table
+from riskloom.sources.storage import materialise
 
 CHUNK_TURNS = 512
+CHUNK_BYTES = 4 << 20
+#: Characters of a role and a text that the ranges are cut by.
+RANGE_CHARS = 64
 
 #: The control strings, whose ids follow the vocabulary in this order.
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|role|>", "<|text|>", "<|end|>")
@@ -90,9 +97,9 @@ class Template:
         return "".join(out)
 
 
-def assemble(turns: list[tuple[bytes, int, int, bool]]) -> tuple[np.ndarray, np.ndarray]:
+def assemble(turns: list[tuple[list[int], int, int, bool]]) -> tuple[np.ndarray, np.ndarray]:
     """Ids and loss mask of encoded turns (ids, start and end of the text, learned)."""
-    parts = [np.frombuffer(ids, "<i4") for ids, *_ in turns]
+    parts = [np.array(ids, np.int32) for ids, *_ in turns]
     starts = np.cumsum([0, *map(len, parts)])
     change = np.zeros(starts[-1] + 1, np.int8)
     for offset, (_, a, b, learned) in zip(starts[:-1], turns, strict=True):
@@ -102,49 +109,45 @@ def assemble(turns: list[tuple[bytes, int, int, bool]]) -> tuple[np.ndarray, np.
     return np.concatenate(parts), np.cumsum(change[:-1], dtype=np.int8)
 
 
-def _encoded(rows: DataFrame, tokenizer: TokenizerFile, columns: dict[str, str]) -> DataFrame:
-    """Every turn encoded where it is read, then dealt and sorted by conversation."""
+def _ordered(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """(conv_id, role, text) dealt by ranges and sorted by conversation, turn, role and text."""
     chosen = rows.select(
         F.col(columns["conv_id"]).cast("long").alias("conv_id"), F.col(columns["turn"]).cast("long").alias("turn"),
         F.coalesce(F.col(columns["role"]).cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col(columns["text"]).cast("string"), F.lit("")).alias("text"),
     )
-    spark = rows.sparkSession
-    sent = spark.sparkContext.broadcast(tokenizer)
+    # The driver sees a sample of the range keys, so they must be short; cut texts keep their order.
+    role = F.substring("role", 1, RANGE_CHARS)
+    text = F.when(F.length("role") < RANGE_CHARS, F.substring("text", 1, RANGE_CHARS)).otherwise("")
+    dealt = chosen.repartitionByRange(partitions(rows.sparkSession), F.col("conv_id"), F.col("turn"), role, text)
+    return dealt.sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", F.col("role").cast("binary"), F.col("text").cast("binary"))
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        template = Template(sent.value)
-        for batch in batches:
-            roles = [as_text(x) for x in batch.column(2).to_pylist()]
-            turns = [template.turn(role, as_text(x)) for role, x in zip(roles, batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(roles), pa.array([np.array(t[0], "<i4").tobytes() for t in turns], pa.binary()), *(pa.array([t[i] for t in turns], pa.int32()) for i in (1, 2))],
-                names=["conv_id", "turn", "role", "ids", "start", "end"],
-            )
 
-    binary = chosen.select("conv_id", "turn", F.col("role").cast("binary"), F.col("text").cast("binary"))
-    return (
-        binary.mapInArrow(encode, "conv_id long, turn long, role string, ids binary, start int, end int")
-        .repartition(partitions(spark), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "ids")
-    )
-
-
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, int, bool, list]]:
-    """(conversation, number of the chunk, whether it is the last, turns) from sorted rows."""
-    current, number, turns, any_ = None, 0, [], False
+def _chunks(batches: Iterator[pa.RecordBatch], template: Template) -> Iterator[tuple[int | None, bool, list]]:
+    """(conversation, whole, encoded turns) from sorted rows.  ``whole``: the
+    chunk holds all turns of the conversation, as others stand before and after it."""
+    current, cut, turns, held, seen = None, True, [], 0, False
     for batch in batches:
-        columns = [batch.column(i).to_pylist() for i in (0, 2, 3, 4, 5)]
-        for conv, role, ids, start, end in zip(*columns, strict=True):
-            if any_ and conv != current:
-                yield current, number, True, turns
-                number, turns = 0, []
-            elif len(turns) >= CHUNK_TURNS:
-                yield current, number, False, turns
-                number, turns = number + 1, []
-            current, any_ = conv, True
-            turns.append((ids, start, end, role == "assistant"))
-    if any_:
-        yield current, number, True, turns
+        columns = [batch.column(i).to_pylist() for i in range(3)]
+        for conv, role, text in zip(*columns, strict=True):
+            if seen and conv != current:
+                yield current, not cut, turns
+                cut, turns, held = False, [], 0
+            elif len(turns) >= CHUNK_TURNS or held >= CHUNK_BYTES:
+                yield current, False, turns
+                cut, turns, held = True, [], 0
+            current, seen = conv, True
+            said = as_text(role)
+            turns.append((*template.turn(said, as_text(text)), said == "assistant"))
+            held += len(text)
+    if seen:
+        yield current, False, turns
+
+
+def _first_chunk() -> int:
+    """Chunks are numbered upwards from here in the running task, in the order of the ranges."""
+    task = TaskContext.get()
+    return (task.partitionId() if task else 0) << 32
 
 
 _COLUMNS = {c: c for c in ("conv_id", "turn", "role", "text")}
@@ -152,7 +155,8 @@ _COLUMNS = {c: c for c in ("conv_id", "turn", "role", "text")}
 
 def format_conversations(rows: DataFrame, tokenizer: TokenizerFile, **columns: str) -> DataFrame:
     """One row per chunk of a conversation: conv_id, chunk, ids and loss_mask
-    (arrays of one length) and the written text.
+    (arrays of one length) and the written text.  ``chunk`` grows along a
+    conversation, not always by one.
 
     Turns stand by turn number (null first), then role, then text, so ties and
     repeated rows keep a fixed place; a null conversation id is one more
@@ -163,49 +167,80 @@ def format_conversations(rows: DataFrame, tokenizer: TokenizerFile, **columns: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         template = Template(sent.value)
-        for conv, chunk, _, turns in _chunks(batches):
+        for chunk, (conv, _, turns) in enumerate(_chunks(batches, template), _first_chunk()):
             ids, mask = assemble(turns)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([conv], pa.int64()), pa.array([chunk], pa.int32()), pa.array([ids], pa.list_(pa.int32())), pa.array([mask], pa.list_(pa.int8())), pa.array([template.written(ids)])],
+                [pa.array([conv], pa.int64()), pa.array([chunk], pa.int64()), pa.array([ids], pa.list_(pa.int32())), pa.array([mask], pa.list_(pa.int8())), pa.array([template.written(ids)])],
                 names=["conv_id", "chunk", "ids", "loss_mask", "formatted"],
             )
 
-    return _encoded(rows, tokenizer, _COLUMNS | columns).mapInArrow(run, "conv_id long, chunk int, ids array<int>, loss_mask array<byte>, formatted string")
+    return _ordered(rows, _COLUMNS | columns).mapInArrow(run, "conv_id long, chunk long, ids array<int>, loss_mask array<byte>, formatted string")
+
+
+_DIGESTS = pa.schema([
+    ("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()),
+    ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()),
+])
+_DIGESTS_SQL = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+#: A chunk of a conversation that others share has a number and its texts in place of digests.
+_PIECES = pa.schema([*_DIGESTS, ("chunk", pa.int64()), ("said", pa.binary()), ("learned", pa.binary())])
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
+def _whole_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per conversation from its chunks, sorted by number."""
+    current, sums, hashes, seen = None, [0, 0, 0], (), False
+
+    def row() -> pa.RecordBatch:
+        n, learned, written = sums
+        return _batch([(current, n, hashes[0].hexdigest(), learned, hashes[1].hexdigest(), written)], _DIGESTS)
+
+    for batch in batches:
+        for r in batch.to_pylist():
+            if not seen or r["conv_id"] != current:
+                if seen:
+                    yield row()
+                current, sums, hashes, seen = r["conv_id"], [0, 0, 0], (hashlib.sha256(), hashlib.sha256()), True
+            sums = [a + r[c] for a, c in zip(sums, ("n_turns", "loss_chars", "formatted_chars"), strict=True)]
+            hashes[0].update(r["said"])
+            hashes[1].update(r["learned"])
+    if seen:
+        yield row()
 
 
 def formatted_digests(rows: DataFrame, tokenizer: TokenizerFile, **columns: str) -> DataFrame:
     """Formats like ``format_conversations`` and reads the result back: one row
-    per conversation with its turns' and its learned texts' digests."""
-    sent = rows.sparkSession.sparkContext.broadcast(tokenizer)
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    per conversation with its turns' and its learned texts' digests.  Cases as there."""
+    spark = rows.sparkSession
+    sent = spark.sparkContext.broadcast(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         template = Template(sent.value)
-        out = []
-        n = learned = written = 0
-        all_turns, all_learned = hashlib.sha256(), hashlib.sha256()
-        for conv, _, last, turns in _chunks(batches):
+        out, held = [], 0
+        for chunk, (conv, whole, turns) in enumerate(_chunks(batches, template), _first_chunk()):
             ids, mask = assemble(turns)
-            written += len(template.written(ids))
-            for role, text, start, end in template.read(ids):
-                n += 1
-                all_turns.update(f"{role}\n{text}\n".encode())
-                if end > start and mask[start:end].all():
-                    learned += len(text)
-                    all_learned.update(text.encode())
-            if last:
-                out.append((conv, n, all_turns.hexdigest(), learned, all_learned.hexdigest(), written))
-                n = learned = written = 0
-                all_turns, all_learned = hashlib.sha256(), hashlib.sha256()
-            if len(out) >= 1000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
-                out = []
+            back = list(template.read(ids))
+            said = "".join(f"{role}\n{text}\n" for role, text, _, _ in back).encode()
+            learned = "".join(text for _, text, a, b in back if b > a and mask[a:b].all())
+            counts, data = (len(back), len(learned), len(template.written(ids))), learned.encode()
+            if whole:
+                out.append((conv, counts[0], hashlib.sha256(said).hexdigest(), counts[1], hashlib.sha256(data).hexdigest(), counts[2], None, None, None))
+            else:
+                out.append((conv, counts[0], None, counts[1], None, counts[2], chunk, said, data))
+                held += len(said)
+            if len(out) >= 1000 or held >= CHUNK_BYTES:
+                yield _batch(out, _PIECES)
+                out, held = [], 0
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+            yield _batch(out, _PIECES)
 
-    schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    return _encoded(rows, tokenizer, _COLUMNS | columns).mapInArrow(run, schema)
+    found = materialise(_ordered(rows, _COLUMNS | columns).mapInArrow(run, _DIGESTS_SQL + ", chunk long, said binary, learned binary"), "conversations")
+    names = _DIGESTS.names
+    pieces = found.where(F.col("chunk").isNotNull()).repartition(partitions(spark), "conv_id").sortWithinPartitions("conv_id", "chunk")
+    return found.where(F.col("chunk").isNull()).select(names).unionByName(pieces.mapInArrow(_whole_digests, _DIGESTS_SQL))
 
 
 def op5_chat(spark, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ def test_escape_is_reversible(text):
 @given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "system", "tool<s>", ""]), PIECES), min_size=1, max_size=5))
 def test_turns_read_back(turns):
     template = Template(FILE)
-    ids, mask = assemble([(np.array(t[0], "<i4").tobytes(), t[1], t[2], role == "assistant") for role, text in turns for t in [template.turn(role, text)]])
+    ids, mask = assemble([(*template.turn(role, text), role == "assistant") for role, text in turns])
     back = list(template.read(ids))
     assert [(r, t) for r, t, _, _ in back] == turns
     learned = np.zeros(len(ids), bool)
@@ -47,7 +47,9 @@ def test_awkward_rows(spark):
     assert got[2] == digests([(None, None)]) and got[None] == digests([("user", "x")])
     assert got[3][2] == 60_000 and got[4] == digests([r[2:] for r in long])
     out = format_conversations(df, FILE).collect()
-    assert all(len(r["ids"]) == len(r["loss_mask"]) for r in out) and sum(r["conv_id"] == 4 for r in out) == 3
+    assert all(len(r["ids"]) == len(r["loss_mask"]) for r in out) and sum(r["conv_id"] == 4 for r in out) >= 3
+    written = "".join(r["formatted"] for r in sorted(out, key=lambda r: r["chunk"]) if r["conv_id"] == 4)
+    assert written == "".join(f"[INST]{t}[/INST]" if role == "user" else f"<s>{t}</s>" for _, _, role, t in long)
     assert formatted_digests(df.limit(0), FILE).count() == 0
 
 
@@ -60,3 +62,28 @@ def test_query(spark, sf):
     rows = op5_chat(spark, sf).collect()
     assert {r["conv_id"]: tuple(r)[1:5] for r in rows} == {k: digests(v) for k, v in turns.items()}
     assert all(r["formatted_chars"] > sum(len(t) for _, t in turns[r["conv_id"]]) for r in rows)
+
+
+def test_ties_stand_by_role_and_text(spark):
+    """Not by the ids of their tokens; long roles and texts too, in any dealing."""
+    words = ["a", "b", "the", "zebra crossing", "\u00e9", "Z", "", "x" * 100 + "b", "x" * 100 + "a", "x" * 64]
+    roles = ["user", "assistant", "r" * 64, "r" * 63, "r" * 70 + "b", "r" * 70 + "a"]
+    rows = [(conv, turn, r, w) for conv in (1, None) for turn in (0, None) for r in roles for w in words]
+    order = {c: sorted((x[1:] for x in rows if x[0] == c), key=lambda x: (x[0] is not None, x[1].encode(), x[2].encode())) for c in (1, None)}
+    for dealt in (rows, rows[::-1]):
+        got = {r["conv_id"]: tuple(r)[1:5] for r in formatted_digests(spark.createDataFrame(dealt, "conv_id long, turn long, role string, text string"), FILE).collect()}
+        assert got == {c: digests([(r, t) for _, r, t in x]) for c, x in order.items()}
+
+
+def test_one_conversation_of_many_turns_spreads(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(7 if i % 3 == 0 else i, i, ("user", "assistant")[i % 2], f"turn {i}") for i in range(9000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    out = format_conversations(df, FILE).where("conv_id = 7").select((F.col("chunk") / (1 << 32)).cast("int").alias("task"))
+    assert out.distinct().count() > 1
+    got = {r["conv_id"]: tuple(r)[1:5] for r in formatted_digests(df, FILE).collect()}
+    want = {}
+    for conv, _, role, text in rows:
+        want.setdefault(conv, []).append((role, text))
+    assert got == {c: digests(t) for c, t in want.items()}
