@@ -39,8 +39,8 @@ from pyspark.sql.datasource import (
     StringStartsWith,
 )
 
-from riskloom.llm.common import table
-from riskloom.sources.storage import fresh_path
+from riskloom.llm.common import broadcast_if_small, table
+from riskloom.sources.storage import fresh_path, materialise
 
 SEPARATOR = "\r\n\r\n"
 ID_PREFIX = "urn:riskloom:page:"
@@ -81,9 +81,12 @@ def record_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     html = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), html.alias("html"))
     rows = rows.withColumn("digest", base32_sha1(F.col("html").cast("binary"))).withColumn("size", F.octet_length("html"))
-    latest = rows.where(F.col("size") >= min_payload).groupBy("digest").agg(F.max("page_id").alias("latest"), F.count("*").alias("rows"))
-    latest = latest.where("rows > 1 and latest is not null").select("digest", "latest")
-    rows = rows.join(latest, "digest", "left")
+    # SHA-1 can be made to collide, so size and a second hash must agree as well.
+    same = ["digest", "size", "check"]
+    rows = rows.withColumn("check", F.xxhash64("html"))
+    latest = rows.where(F.col("size") >= min_payload).groupBy(*same).agg(F.max("page_id").alias("latest"), F.count("*").alias("rows"))
+    latest = materialise(latest.where("rows > 1 and latest is not null").drop("rows"), "warc-repeats")
+    rows = rows.join(broadcast_if_small(latest), same, "left")
     again = F.coalesce(F.col("latest").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") < F.col("latest"))), F.lit(False))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size").cast("string"), F.lit(SEPARATOR))
     block = F.concat(http, F.when(again, "").otherwise(F.col("html")))
@@ -107,9 +110,10 @@ def record_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     )
 
 
-def write_archives(pages: DataFrame, path: str, **options) -> None:
-    """Write ``pages`` as gzipped WARC files; ``options`` as of ``record_texts``."""
-    record_texts(pages, **options).write.option("lineSep", SEPARATOR).option("compression", "gzip").text(path)
+def write_archives(pages: DataFrame, path: str, compression: str = "gzip", **options) -> None:
+    """Write ``pages`` as WARC files; ``options`` as of ``record_texts``.  Without
+    compression ("none") readers seek past blocks that they do not want."""
+    record_texts(pages, **options).write.option("lineSep", SEPARATOR).option("compression", compression).text(path)
 
 
 # ------------------------------------------------------------------- reading
@@ -216,10 +220,10 @@ class WarcReader(DataSourceReader):
             return
         system, path = _located(partition.path)
         rows, held = [], 0
-        with system.open_input_stream(path, compression=None) as raw:
+        with system.open_input_file(path) as raw:
             buffered = io.BufferedReader(raw, 1 << 20)
-            stream = io.BufferedReader(gzip.GzipFile(fileobj=buffered), 1 << 20) if path.endswith(".gz") else buffered
-            for row in records(_Forward(stream), self.tests, self.payload):
+            stream = _Forward(io.BufferedReader(gzip.GzipFile(fileobj=buffered), 1 << 20)) if path.endswith(".gz") else buffered
+            for row in records(stream, self.tests, self.payload):
                 rows.append(row)
                 held += 200 + len(row["payload"] or b"")
                 if held > BATCH_BYTES:
@@ -230,7 +234,7 @@ class WarcReader(DataSourceReader):
 
 
 class _Forward:
-    """A stream that seeks forward by passing over bytes, in small steps."""
+    """A zipped stream, which seeks forward by passing over bytes, in small steps."""
 
     def __init__(self, stream: io.BufferedReader):
         self.readline, self.read = stream.readline, stream.read
@@ -258,7 +262,8 @@ class WarcSource(DataSource):
 
 
 def read_archives(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
-    """All records of the files under ``path``, with predicate push-down."""
+    """All records of the files under ``path``, with predicate push-down, for
+    which this turns the session's setting on (the reader needs it)."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcSource)
     return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
@@ -267,8 +272,11 @@ def read_archives(spark: SparkSession, path: str, payload: bool = True) -> DataF
 def op8_warc(spark, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "warc")
     write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
-    stored = read_archives(spark, path).where(F.col("record_type") == "response").select(
-        "page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to")
-    )
-    again = read_archives(spark, path, payload=False).where(F.col("record_type") == "revisit")
-    return stored.unionByName(again.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+    read, whole = read_archives(spark, path), F.col("record_type") == "response"
+    return read.select(
+        "page_id",
+        F.when(whole, F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
+        F.when(whole, base32_sha1(F.col("payload"))).otherwise(F.col("payload_digest")).alias("payload_digest"),
+        "record_type",
+        F.when(~whole, F.col("refers_to")).alias("refers_to"),
+    )
