@@ -10,10 +10,12 @@ the neighbour; buckets are visited from the most likely one until the chances
 reach ``SUCCESS``.  The candidates of all tables are merged and ranked by
 their exact inner products.
 
-Buckets are packed into groups of about ``GROUP_ROWS`` rows, and larger ones
-are cut into several groups, so a bucket with a third of all rows spreads over
-many tasks.  A query goes once to each group that holds a bucket it visits,
-and each group returns its ``k`` best rows of these buckets.
+Buckets are packed into groups of bounded size, and larger ones are cut into
+several groups, so a bucket with a third of all rows spreads over many tasks.
+Queries are dealt into slices of bounded size, and a group's rows go to each
+slice, so a task never holds more than one group and one slice.  A query goes
+once to each group that holds a bucket it visits, with one bit for each bucket
+of that group, and each group returns its ``k`` best rows of these buckets.
 """
 
 from __future__ import annotations
@@ -36,7 +38,10 @@ CELLS = 4
 WIDTH = 0.9
 SUCCESS = 0.85
 SAMPLE = 4000
-GROUP_ROWS = 8192
+#: Rows of a group, and queries of a slice, at least and at most; between them, an
+#: eighth of the rows and half of the queries, as each query gets its best rows of each group.
+GROUP_ROWS = (256, 65_536)
+SLICE_QUERIES = (512, 4096)
 QUERIES_AT_ONCE = 64
 SEED = 7
 _erf = np.vectorize(math.erf, otypes=[float])
@@ -104,14 +109,14 @@ def _matrix(blobs) -> np.ndarray:
     return np.stack([np.frombuffer(b, "<f8") for b in blobs])
 
 
-def _best(candidates: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
-    """Of one group: each query's ``k`` best rows among the buckets it visits,
-    with ties to the smaller id.  The matrix product only preselects; scores
-    are summed alike for equal vectors."""
+def _best(candidates: pd.DataFrame, queries: pd.DataFrame, k: int, low: int) -> pd.DataFrame:
+    """Of one group, whose buckets begin at ``low``: each query's ``k`` best
+    rows among the buckets it visits, with ties to the smaller id.  The matrix
+    product only preselects; scores are summed alike for equal vectors."""
     if not len(candidates) or not len(queries):
         return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
     rows, ids = _matrix(candidates["vector"]), candidates["vec_id"].to_numpy(np.int64)
-    places, bucket = np.unique(candidates["place"].to_numpy(np.int64), return_inverse=True)
+    bucket = candidates["place"].to_numpy(np.int64) - low
     unique = len(np.unique(ids)) == len(ids)
     out = []
     for at in range(0, len(queries), QUERIES_AT_ONCE):
@@ -119,7 +124,7 @@ def _best(candidates: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFra
         asked = _matrix(part["vector"])
         rough = asked @ rows.T
         slack = 1e-9 * (1 + np.abs(rough).max())
-        seen = np.stack([np.isin(places, np.frombuffer(v, "<i8")) for v in part["visited"]])
+        seen = np.unpackbits(np.stack([np.frombuffer(v, np.uint8) for v in part["visited"]]), axis=1).astype(bool)
         rough[~seen[:, bucket]] = -np.inf
         # With repeated ids the first rows may be of fewer ids than k.
         nth = min(k + 1, len(ids)) if unique else len(ids)
@@ -137,13 +142,13 @@ def _best(candidates: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFra
     return pd.DataFrame({"query_id": query, "vec_id": vec, "score": score})
 
 
-def group_buckets(sizes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """First group, and number of groups, of each bucket; no group spans two
-    tables, so it never holds a row twice."""
-    parts = np.maximum(1, -(-sizes // GROUP_ROWS))
+def group_buckets(sizes: np.ndarray, buckets: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """First group, and number of groups, of each bucket, for groups of ``rows``;
+    no group spans two tables, so it never holds a row twice."""
+    parts = np.maximum(1, -(-sizes // rows))
     first, group, held = np.zeros(len(sizes), np.int64), 0, 0
     for place, size in enumerate(sizes.tolist()):
-        if held and (held + size > GROUP_ROWS or place % buckets == 0):
+        if held and (held + size > rows or place % buckets == 0):
             group, held = group + 1, 0
         first[place] = group
         if parts[place] > 1:
@@ -153,6 +158,16 @@ def group_buckets(sizes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarr
     return first, parts
 
 
+def group_ranges(first: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First bucket of each group, and the one after its last."""
+    place = np.repeat(np.arange(len(first)), parts)
+    group = np.repeat(first, parts) + np.arange(len(place)) - np.repeat(np.cumsum(parts) - parts, parts)
+    low, high = np.full(group.max() + 1, len(first)), np.zeros(group.max() + 1, np.int64)
+    np.minimum.at(low, group, place)
+    np.maximum.at(high, group, place + 1)
+    return low, high
+
+
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(vec_id, vector as little-endian doubles) of the rows that take part: an
     id, and a vector that is not null, empty or zero and has only finite
@@ -183,19 +198,20 @@ def nearest(vectors: DataFrame, is_query, k: int = K, id_col: str = "vec_id", ve
     """
     rows = materialise(usable(vectors, id_col, vector_col), "vectors")
     ids = rows.groupBy(F.octet_length("vector").alias("bytes"), "vec_id").agg(F.count("*").alias("n"))
-    sizes = ids.groupBy("bytes").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max(is_query(F.col("vec_id"))).alias("asked")).where("asked").collect()
+    sizes = ids.groupBy("bytes").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.sum(F.when(is_query(F.col("vec_id")), F.col("n")).otherwise(0)).alias("asked")).where("asked > 0").collect()
     if not sizes:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    found = [_found(rows.where(F.octet_length("vector") == r["bytes"]), is_query, k, r["n"], r["most"], r["bytes"] // 8) for r in sorted(sizes)]
+    found = [_found(rows.where(F.octet_length("vector") == r["bytes"]), is_query, k, r["n"], r["asked"], r["most"], r["bytes"] // 8) for r in sorted(sizes)]
     best = reduce(DataFrame.unionAll, found).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
-def _found(rows: DataFrame, is_query, k: int, n: int, most: int, size: int) -> DataFrame:
+def _found(rows: DataFrame, is_query, k: int, n: int, n_asked: int, most: int, size: int) -> DataFrame:
     """(query_id, vec_id, score): what each group of buckets returns, for the
-    ``n`` rows (vec_id, vector) of ``size`` components, at most ``most`` of an id."""
+    ``n`` rows (vec_id, vector) of ``size`` components, ``n_asked`` of which
+    ask, at most ``most`` of an id."""
 
     def norms(batches):
         for pdf in batches:
@@ -222,34 +238,43 @@ def _found(rows: DataFrame, is_query, k: int, n: int, most: int, size: int) -> D
     sizes = np.zeros(TABLES * buckets, np.int64)
     for r in rows.mapInPandas(counted, "place long, rows long").groupBy("place").agg(F.sum("rows").alias("rows")).collect():
         sizes[r["place"]] = r["rows"]
-    first, parts = group_buckets(sizes, buckets)
+    first, parts = group_buckets(sizes, buckets, int(np.clip(n // 8, *GROUP_ROWS)))
+    low, high = group_ranges(first, parts)
+    slices = -(-n_asked // int(np.clip(n_asked // 2, *SLICE_QUERIES)))
+
+    def marks(pdf: pd.DataFrame) -> np.ndarray:
+        """A number for each row; of the vector too, as one id may have many."""
+        own = pdf["vec_id"].to_numpy(np.int64).astype(np.uint64) + np.fromiter(map(zlib.crc32, pdf["vector"]), np.uint64, len(pdf))
+        return own * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
 
     def hashed(batches):
         for pdf in batches:
             for place in places(_matrix(pdf["vector"])) if len(pdf) else ():
-                # Vectors too, as one id may have many.
-                marks = pdf["vec_id"].to_numpy(np.int64).astype(np.uint64) + np.fromiter(map(zlib.crc32, pdf["vector"]), np.uint64, len(pdf))
-                mixed = marks * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
-                group = first[place] + (mixed % parts[place].astype(np.uint64)).astype(np.int64)
-                yield pd.DataFrame({"group": group, "place": place, "vec_id": pdf["vec_id"], "vector": pdf["vector"]})
+                group = first[place] + (marks(pdf) % parts[place].astype(np.uint64)).astype(np.int64)
+                for i in range(slices):
+                    yield pd.DataFrame({"group": group, "slice": i, "place": place, "vec_id": pdf["vec_id"], "vector": pdf["vector"]})
 
     def probes(batches):
         for pdf in batches:
             for at in range(0, len(pdf), 256):
                 part = pdf.iloc[at : at + 256]
                 x = _matrix(part["vector"])
+                own = (marks(part) % np.uint64(slices)).astype(np.int64)
                 seen = [visits(bucket_chances(x, d, near), sizes[t * buckets : (t + 1) * buckets], 10 * k * most) for t, d in enumerate(directions)]
                 out = []
-                for query_id, vector, *orders in zip(part["vec_id"], part["vector"], *seen, strict=True):
+                for query_id, vector, i, *orders in zip(part["vec_id"], part["vector"], own, *seen, strict=True):
                     visited = np.concatenate([t * buckets + order for t, order in enumerate(orders)])
+                    bits = np.zeros(len(sizes), bool)
+                    bits[visited] = True
                     last = first[visited] + parts[visited]
                     groups = np.unique(np.concatenate([np.arange(a, b) for a, b in zip(first[visited], last, strict=True)]))
-                    out += [(g, query_id, vector, visited.astype("<i8").tobytes()) for g in groups.tolist()]
-                yield pd.DataFrame(out, columns=["group", "query_id", "vector", "visited"])
+                    out += [(g, i, query_id, vector, np.packbits(bits[low[g] : high[g]]).tobytes()) for g in groups.tolist()]
+                yield pd.DataFrame(out, columns=["group", "slice", "query_id", "vector", "visited"])
 
-    index = rows.mapInPandas(hashed, "group long, place long, vec_id long, vector binary")
-    asked = rows.where(is_query(F.col("vec_id"))).mapInPandas(probes, "group long, query_id long, vector binary, visited binary")
-    return index.groupBy("group").cogroup(asked.groupBy("group")).applyInPandas(lambda c, q: _best(c, q, k), "query_id long, vec_id long, score double")
+    index = rows.mapInPandas(hashed, "group long, slice long, place long, vec_id long, vector binary")
+    asked = rows.where(is_query(F.col("vec_id"))).mapInPandas(probes, "group long, slice long, query_id long, vector binary, visited binary")
+    both = index.groupBy("group", "slice").cogroup(asked.groupBy("group", "slice"))
+    return both.applyInPandas(lambda key, c, q: _best(c, q, k, int(low[key[0]])), "query_id long, vec_id long, score double")
 
 
 def expected_neighbour(sample: np.ndarray, largest: float, n: int, k: int) -> tuple[float, float, float]:

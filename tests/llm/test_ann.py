@@ -3,7 +3,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from riskloom.llm.ann import nearest, op10_nearest
+from riskloom.llm.ann import group_buckets, group_ranges, nearest, op10_nearest
 
 
 def brute(ids, vectors, asked, k=20):
@@ -22,7 +22,9 @@ def by_query(rows):
     return out
 
 
-def test_query_recall_and_scores(spark, sf):
+@pytest.mark.parametrize("scale", ["sf0.001", "sf0.1"])
+def test_query_recall_and_scores(spark, sf, scale):
+    sf = sf.replace("sf0.001", scale)
     rows = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
     ids, vectors = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], float)
     got = by_query(op10_nearest(spark, sf).collect())
@@ -84,3 +86,27 @@ def test_an_id_with_many_vectors_takes_one_rank(spark):
     rows = [(0, [1.0, 0.0]), *((7, [1.0 - i / 1000, 0.1]) for i in range(50)), (8, [0.5, 0.0]), (9, [0.4, 0.0])]
     got = by_query(nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda c: c % 20 == 0, k=3).collect())
     assert {q: [r["vec_id"] for r in x] for q, x in got.items()} == {0: [7, 8, 9]}
+
+
+def test_groups_hold_their_buckets():
+    sizes = np.array([0, 5, 3000, 10, 0, 700, 700, 900])
+    first, parts = group_buckets(sizes, 4, 1000)
+    low, high = group_ranges(first, parts)
+    held = np.zeros(len(low))
+    for place, size in enumerate(sizes):
+        for g in range(first[place], first[place] + parts[place]):
+            assert low[g] <= place < high[g]
+            held[g] += size / parts[place]
+    assert held.max() <= 1000 and all(a // 4 == (b - 1) // 4 for a, b in zip(low, high, strict=True))
+
+
+def test_many_slices_of_queries(spark, monkeypatch):
+    """Any sizes of groups and slices give the same neighbours."""
+    from riskloom.llm import ann
+
+    random = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, random.normal(size=4).tolist()) for i in range(500)], "vec_id long, embedding array<double>")
+    want = sorted(map(tuple, nearest(df, lambda c: c % 5 == 0, k=7).collect()))
+    monkeypatch.setattr(ann, "GROUP_ROWS", (20, 40))
+    monkeypatch.setattr(ann, "SLICE_QUERIES", (9, 12))
+    assert sorted(map(tuple, nearest(df, lambda c: c % 5 == 0, k=7).collect())) == want
