@@ -24,7 +24,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> dict[str, tuple[Query, str | None]]:
-    from riskloom.plans import catalog_cleaning, catalog_graph, catalog_learning, catalog_sequences, catalog_users  # noqa: F401
+    from riskloom.plans import catalog_cleaning, catalog_graph, catalog_learning, catalog_sequences, catalog_sources, catalog_users  # noqa: F401
 
     return _FOUND
 
