@@ -2,8 +2,9 @@
 
 A spec says: of the rows that meet a filter, aggregate a column by (user,
 keys), then take max, min and mean of that per user.  All specs with the same
-keys become one aggregation by (user, keys) and one by user on top of it;
-filters turn into conditions inside the aggregates.  A group without a row
+keys become one aggregation by (user, keys) and one by user on top of it,
+those of distinct values one for each column; filters turn into conditions
+inside the aggregates.  A group without a row
 that meets the filter must not count in the second step, so aggregates that
 would be zero there are null instead.
 """
@@ -13,6 +14,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,53 +44,61 @@ class AggSpec:
         met = F.expr(self.where) if self.where else None
         value = F.col(self.select) if met is None else F.when(met, F.col(self.select))
         out = STATS[self.agg](value)
-        if met is not None and self.agg in ("count", "nunique", "sum"):
+        if met is not None and self.agg in ("count", "sum"):
             out = F.when(F.count_if(met) > 0, out)
         return out
 
 
-def _modes(df: DataFrame, user: str, keys: Sequence[str], specs: Sequence[AggSpec]) -> DataFrame:
-    """Modes of all columns with the same keys: one count of (column, value)
-    rows, one aggregation. Null where a group has one distinct value only."""
-    values = [F.struct(F.lit(i).alias("i"), F.when(F.expr(s.where or "true"), F.col(s.select)).cast("double").alias("v")) for i, s in enumerate(specs)]
-    rows = df.select(user, *keys, F.inline(F.array(*values))).where(F.col("v").isNotNull())
-    counts = rows.groupBy(user, *keys, "i", "v").agg(F.count("*").alias("n"))
-    best = [
-        F.when(F.count_if(F.col("i") == i) > 1, F.max_by(F.when(F.col("i") == i, F.col("v")), F.when(F.col("i") == i, F.struct("n", -F.col("v"))))).alias(s.name(user))
-        for i, s in enumerate(specs)
-    ]
-    return counts.groupBy(user, *keys).agg(*best)
+def _counted(rows: DataFrame, user: str, keys: Sequence[str], column: str, specs: Sequence[AggSpec]) -> DataFrame:
+    """Distinct counts and modes of one column under several conditions, from
+    one count of (user, keys, value) with a number for each condition; no row
+    is multiplied.  A mode is null where a group has one distinct value only."""
+    conditions = list(dict.fromkeys(s.where for s in specs))
+    if all(conditions):
+        rows = rows.where(" or ".join(f"({c})" for c in conditions))
+    numbers = {c: f"_n{i}" for i, c in enumerate(conditions)}
+    counts = rows.groupBy(user, *keys, F.col(column).alias("_v")).agg(*(F.count_if(F.expr(c or "true")).alias(n) for c, n in numbers.items()))
+    out = []
+    for s in specs:
+        n, v = F.col(numbers[s.where]), F.col("_v").cast("double")
+        held = F.col("_v").isNotNull() & (n > 0)
+        if s.agg == "mode":
+            value = F.when(F.count_if(held) > 1, F.max_by(F.when(held, v), F.when(held, F.struct(n, -v))))
+        else:
+            value = F.when(F.sum(n) > 0, F.count_if(held))
+        out.append(value.alias(s.name(user)))
+    return counts.groupBy(user, *keys).agg(*out)
 
 
 def _rolled(inner: DataFrame, user: str, names: Sequence[str]) -> DataFrame:
-    return inner.groupBy(user).agg(*(STATS[r](F.col(n)).alias(f"{n}_{r}") for n in names for r in ROLLUPS))
+    """(user, values): the max, min and mean of each name."""
+    return inner.groupBy(user).agg(F.array(*(STATS[r](F.col(n)).cast("double") for n in names for r in ROLLUPS)).alias("values"))
 
 
 def compile_specs(df: DataFrame, user: str, specs: Sequence[AggSpec], written: bool = True) -> DataFrame:
-    """One row per user of ``df``; null where a user has no group for a spec.
+    """One row per user of ``df``, all values as doubles; null where a user has
+    no group for a spec.
 
     ``written``: the rows are written once to the shared folder, so that each
     set of keys reads just its columns, and windows below are not computed
-    again for every set.
+    again for every set, and the values of all sets are written long, so that
+    the wide aggregation by user is planned once.
     """
     df = materialise(df, "spec-rows") if written else df
-    by_keys: dict[tuple[str, ...], list[AggSpec]] = defaultdict(list)
+    by_keys: dict[tuple[tuple[str, ...], str | None], list[AggSpec]] = defaultdict(list)
     for s in specs:
-        by_keys[s.keys].append(s)
-    frames = []
-    for keys, own in by_keys.items():
+        by_keys[s.keys, s.select if s.agg in ("mode", "nunique") else None].append(s)
+    frames, names = [keyed(df, user).select(user).distinct().withColumn("values", F.lit(None).cast("array<double>"))], [[]]
+    for (keys, column), own in by_keys.items():
         rows = keyed(df, user, *keys)
-        plain = [s for s in own if s.agg != "mode"]
-        modes = [s for s in own if s.agg == "mode"]
-        if plain:
-            inner = rows.groupBy(user, *keys).agg(*(s.column().alias(s.name(user)) for s in plain))
-            frames.append(_rolled(inner, user, [s.name(user) for s in plain]))
-        if modes:
-            frames.append(_rolled(_modes(rows, user, keys, modes), user, [s.name(user) for s in modes]))
-    out = keyed(df, user).select(user).distinct()
-    for f in frames:
-        out = out.join(f, user, "left")
-    return out
+        inner = _counted(rows, user, keys, column, own) if column else rows.groupBy(user, *keys).agg(*(s.column().alias(s.name(user)) for s in own))
+        names.append([s.name(user) for s in own])
+        frames.append(_rolled(inner, user, names[-1]))
+    long = reduce(DataFrame.unionAll, (f.select(user, F.lit(i).alias("_frame"), "values") for i, f in enumerate(frames)))
+    long = materialise(long, "spec-values") if written else long
+    wide = long.groupBy(user).agg(*(F.max(F.when(F.col("_frame") == i, F.col("values"))).alias(f"_{i}") for i in range(1, len(frames))))
+    columns = [F.get(f"_{i}", F.lit(j)).alias(n) for i, own in enumerate(names) for j, n in enumerate(f"{n}_{r}" for n in own for r in ROLLUPS)]
+    return wide.select(user, *columns)
 
 
 @dataclass(frozen=True)
@@ -113,6 +123,7 @@ def compile_ratios(df: DataFrame, user: str, specs: Sequence[RatioSpec]) -> Data
     return out
 
 
+# The keys, columns, limits and names of the features below are given.
 def event_specs() -> list[AggSpec]:
     """The specs on all actions: spread, counts, and what happens close together or early in the month."""
     out = [AggSpec(k, "day", "var") for k in (("device2", "channel"), ("ip", "channel"), ("device2", "ip"), ("version", "channel"))]
