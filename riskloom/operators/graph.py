@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions.arrays import neighbours
 from riskloom.operators.profiles import keyed
 from riskloom.operators.relational import label_codes
+from riskloom.sources.storage import materialise
 
 FIRST_ATTRIBUTE = 1_000_000
+#: Targets of a node in one row, about; steps of walks between writes.
+PIECE = 1024
+WRITTEN = 8
 
 
 def bipartite_edges(df: DataFrame, user: str, attribute: str, first: int = FIRST_ATTRIBUTE) -> DataFrame:
@@ -78,34 +84,80 @@ def clique(size: int, spark) -> DataFrame:
     return nodes.select("src", F.explode(others).alias("dst")).withColumn("weight", F.lit(1.0))
 
 
+def _places(edges: DataFrame, weighted: bool) -> tuple[DataFrame, DataFrame]:
+    """The targets of each node, in pieces of about ``PIECE``: one row for each,
+    (at, piece, pos, dst), or, weighted, one row for a piece, (at, piece, dst,
+    upto), with running weights along it; and (at, total, pieces, ends), with
+    running weights along the node's pieces."""
+    if weighted:
+        rows = edges.groupBy("src", "dst").agg(F.sum("weight").alias("w"))
+    else:
+        rows = edges.select("src", "dst", F.lit(1.0).alias("w")).distinct()
+    many = rows.groupBy("src").agg(F.ceil(F.count("*") / PIECE).alias("pieces"))
+    rows = rows.join(many, "src").select(F.col("src").alias("at"), F.pmod(F.xxhash64("dst"), F.col("pieces")).alias("piece"), "dst", "w")
+    along = Window.partitionBy("at", "piece").orderBy("dst")
+    if weighted:
+        upto = F.sum("w").over(along.rowsBetween(Window.unboundedPreceding, 0))
+        listed = rows.withColumn("upto", upto).groupBy("at", "piece").agg(F.array_sort(F.collect_list(F.struct("dst", "upto"))).alias("next"))
+        places = listed.select("at", "piece", F.col("next.dst").alias("dst"), F.col("next.upto").alias("upto"))
+    else:
+        places = rows.select("at", "piece", (F.row_number().over(along) - 1).cast("long").alias("pos"), "dst")
+    places = materialise(places, "walk-places")
+    sizes = places.select("at", "piece", F.element_at("upto", -1).alias("w")) if weighted else places.groupBy("at", "piece").agg(F.count("*").cast("double").alias("w"))
+    along = Window.partitionBy("at").orderBy("piece").rowsBetween(Window.unboundedPreceding, 0)
+    sums = sizes.withColumn("end", F.sum("w").over(along)).groupBy("at").agg(F.array_sort(F.collect_list(F.struct("piece", "end"))).alias("ends"), F.max("end").alias("total"))
+    return places, materialise(sums.select("at", "total", F.col("ends.piece").alias("pieces"), F.col("ends.end").alias("ends")), "walk-ends")
+
+
 def random_walks(edges: DataFrame, passes: int, steps: int, seed: int = 66, restart: float = 0.0, weighted: bool = False) -> DataFrame:
     """(walk, pass, start, nodes): from every node ``passes`` walks of at most
     ``steps`` nodes; a walk ends at a node without edges.
 
     Each choice is a hash of (seed, walk, step), so a repeated task repeats it.
-    A step is one join of the walks' ends with the adjacency; ``weighted``
-    chooses by edge weight, ``restart`` returns to the start by that chance.
+    A step joins the walks' ends with the one target chosen (weighted: with the
+    piece that holds it), so a node with a third of all edges is no single row.  Steps carry a walk's last
+    ``WRITTEN`` nodes only, are then written, and meet by walk at the end.
+    ``weighted`` chooses by edge weight, ``restart`` returns to the start by
+    that chance.
     """
-    places = F.array_sort(F.collect_list(F.struct("dst", "weight")))
-    adjacent = edges.groupBy("src").agg(places.alias("next")).withColumnRenamed("src", "at")
-    total = F.aggregate("next", F.lit(0.0), lambda a, x: a + x["weight"])
+    places, ends = _places(edges, weighted)
     starts = edges.select(F.explode(F.array("src", "dst")).alias("start")).distinct()
     walks = starts.select("start", F.explode(F.sequence(F.lit(1), F.lit(passes))).alias("pass"))
     walks = walks.select(F.xxhash64("start", "pass").alias("walk"), "pass", "start", F.array("start").alias("nodes"), F.col("start").alias("at"))
-    for step in range(1, steps):
-        chance = F.pmod(F.xxhash64(F.lit(seed), "walk", F.lit(step)), F.lit(1 << 30)) / float(1 << 30)
-        again = F.pmod(F.xxhash64(F.lit(seed + 1), "walk", F.lit(step)), F.lit(1 << 30)) / float(1 << 30) < restart
-        if weighted:
-            sums = F.transform("next", lambda _, i: F.aggregate(F.slice("next", 1, i + 1), F.lit(0.0), lambda a, x: a + x["weight"]))
-            index = F.size(F.filter(sums, lambda s: s <= F.col("chance") * total))
-        else:
-            index = F.floor(F.col("chance") * F.size("next")).cast("int")
-        chosen = F.get(F.col("next"), F.least(index, F.size("next") - 1))["dst"]
-        to = F.when(F.col("at").isNotNull(), F.when(again, F.col("start")).otherwise(chosen))
-        walks = walks.join(adjacent, "at", "left").withColumn("chance", chance).select(
-            "walk", "pass", "start", F.when(to.isNotNull(), F.array_append("nodes", to)).otherwise(F.col("nodes")).alias("nodes"), to.alias("at")
-        )
-    return walks.select("walk", "pass", "start", "nodes")
+    written = []
+    for first in range(1, max(steps, 2), WRITTEN):
+        for step in range(first, min(first + WRITTEN, steps)):
+            walks = _step(walks, places, ends, weighted, seed, step, restart)
+        walks = materialise(walks, "walks")
+        written.append(walks.select("walk", "pass", "start", F.lit(first).alias("first"), "nodes"))
+        walks = walks.where(F.col("at").isNotNull()).withColumn("nodes", F.array().cast("array<long>"))
+    if len(written) == 1:
+        return written[0].drop("first")
+    parts = reduce(DataFrame.unionAll, written).groupBy("walk", "pass", "start").agg(F.array_sort(F.collect_list(F.struct("first", "nodes"))).alias("parts"))
+    return parts.select("walk", "pass", "start", F.flatten("parts.nodes").alias("nodes"))
+
+
+def _step(walks: DataFrame, places: DataFrame, ends: DataFrame, weighted: bool, seed: int, step: int, restart: float) -> DataFrame:
+    """The walks with one more node."""
+
+    def chance(own: int) -> Column:
+        return F.pmod(F.xxhash64(F.lit(own), "walk", F.lit(step)), F.lit(1 << 30)) / float(1 << 30)
+
+    def place(upto: str, x: Column) -> Column:
+        return F.least(F.size(F.filter(upto, lambda c: c <= x)), F.size(upto) - 1)
+
+    own = ["walk", "pass", "start", "nodes"]
+    found = walks.join(ends, "at", "left").withColumn("x", chance(seed) * F.col("total")).withColumn("i", place("ends", F.col("x")))
+    before = F.when(F.col("i") > 0, F.get("ends", F.col("i") - 1)).otherwise(0.0)
+    found = found.select(*own, "at", F.get("pieces", "i").alias("piece"), (F.col("x") - before).alias("x"))
+    if weighted:
+        found = found.join(places, ["at", "piece"], "left")
+        chosen = F.get("dst", place("upto", F.col("x")))
+    else:
+        found = found.withColumn("pos", F.floor("x")).join(places, ["at", "piece", "pos"], "left")
+        chosen = F.col("dst")
+    to = F.when(F.col("at").isNotNull(), F.when(chance(seed + 1) < restart, F.col("start")).otherwise(chosen))
+    return found.select(*own, to.alias("at")).withColumn("nodes", F.when(F.col("at").isNotNull(), F.array_append("nodes", F.col("at"))).otherwise(F.col("nodes")))
 
 
 def walk_embeddings(walks: DataFrame, size: int = 64, window: int = 5, seed: int = 66, iterations: int = 1) -> DataFrame:

@@ -25,9 +25,9 @@ def entity_profile(df: DataFrame, entity: str, aggregates: Sequence[Column]) ->
 def profile_rollup(df: DataFrame, user: str, entity: str, aggregates: Sequence[Column], names: Sequence[str] = ("max", "min", "sum", "mean", "std", "skew")) -> DataFrame:
     """Profiles entities, gives each event its entity's profile, and aggregates per user.
 
-    Events are counted per (user, entity) first where the profile only needs
-    that: here the join carries the whole profile, so it moves the small side
-    (Spark broadcasts it if it is small, and splits skewed entities otherwise).
+    The join brings one row per entity to events of two columns.  Spark
+    broadcasts the profiles if they are small; else it splits the events of a
+    frequent entity, as the profiles' side has one row of it.
     """
     profile = entity_profile(df, entity, aggregates)
     columns = [c for c in profile.columns if c != entity]

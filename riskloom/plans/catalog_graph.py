@@ -11,21 +11,12 @@ from riskloom.sources.tables import load, payments
 _CODED = f"""WITH {PAYMENTS}, n AS (SELECT uid, market, count(*) AS n FROM p WHERE market IS NOT NULL GROUP BY ALL), c AS (SELECT market, row_number() OVER (ORDER BY market) - 1 + 1000000 AS node FROM (SELECT DISTINCT market FROM n))
  SELECT uid, node, n / CAST(sum(n) OVER (PARTITION BY market) AS DOUBLE) AS ratio FROM n JOIN c USING (market)"""
 #: Nations linked by a customer of one and a supplier of the other on an order line.
-_EDGES = """e AS (SELECT CAST(c_nationkey AS BIGINT) AS src, CAST(s_nationkey AS BIGINT) AS dst, CAST(count(*) AS DOUBLE) AS weight FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE o_orderkey % 50 = 0 GROUP BY ALL)"""
+EDGES = """e AS (SELECT CAST(c_nationkey AS BIGINT) AS src, CAST(s_nationkey AS BIGINT) AS dst, CAST(count(*) AS DOUBLE) AS weight FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL)"""
 
 
 def nation_edges(spark, sf):
     """The edges of all order lines."""
-    return _edges(load(spark, sf, "lineitem"), spark, sf)
-
-
-def twin_edges(spark, sf):
-    """The edges of the order lines that ``_EDGES`` names, one order in fifty."""
-    return _edges(load(spark, sf, "lineitem").where("l_orderkey % 50 = 0"), spark, sf)
-
-
-def _edges(lines, spark, sf):
-    orders = load(spark, sf, "orders")
+    lines, orders = load(spark, sf, "lineitem"), load(spark, sf, "orders")
     customers, suppliers = load(spark, sf, "customer"), load(spark, sf, "supplier")
     rows = lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).join(customers, F.col("o_custkey") == F.col("c_custkey")).join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
     return rows.groupBy(F.col("c_nationkey").cast("long").alias("src"), F.col("s_nationkey").cast("long").alias("dst")).agg(F.count("*").cast("double").alias("weight"))
@@ -37,61 +28,47 @@ def edge_list_ratio(spark, sf):
     return finish(rows, "uid", "node", digits=8)
 
 
-@query(f"WITH {_EDGES} SELECT src, dst, sum(weight) AS weight FROM (SELECT * FROM e UNION ALL SELECT dst, src, weight FROM e) GROUP BY src, dst")
-def undirected_edges(spark, sf, edges=twin_edges):
-    return graph.undirected(edges(spark, sf))
+@query(f"WITH {EDGES} SELECT src, dst, sum(weight) AS weight FROM (SELECT * FROM e UNION ALL SELECT dst, src, weight FROM e) GROUP BY src, dst")
+def undirected_edges(spark, sf):
+    return graph.undirected(nation_edges(spark, sf))
 
 
-@query(f"WITH {_EDGES} SELECT src AS node, array_to_string(list_sort(list(DISTINCT dst)), ' ') AS neighbours FROM e GROUP BY src")
-def adjacency_list(spark, sf, edges=twin_edges):
-    rows = graph.adjacency(edges(spark, sf))
+@query(f"WITH {EDGES} SELECT src AS node, array_to_string(list_sort(list(DISTINCT dst)), ' ') AS neighbours FROM e GROUP BY src")
+def adjacency_list(spark, sf):
+    rows = graph.adjacency(nation_edges(spark, sf))
     return rows.select("node", F.array_join(F.transform("neighbours", lambda x: x.cast("string")), " ").alias("neighbours"))
 
 
-@query(f"WITH {_EDGES} SELECT src AS node, count(DISTINCT dst) AS degree FROM e GROUP BY src")
-def node_degree(spark, sf, edges=twin_edges):
-    return graph.degrees(edges(spark, sf))
+@query(f"WITH {EDGES} SELECT src AS node, count(DISTINCT dst) AS degree FROM e GROUP BY src")
+def node_degree(spark, sf):
+    return graph.degrees(nation_edges(spark, sf))
 
 
-@query(f"WITH {_EDGES} SELECT src, dst, weight FROM e WHERE src IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) AND dst IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")
-def subgraph_edges(spark, sf, edges=twin_edges):
+@query(f"WITH {EDGES} SELECT src, dst, weight FROM e WHERE src IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) AND dst IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")
+def subgraph_edges(spark, sf):
     nodes = load(spark, sf, "nation").where("n_regionkey = 1").select(F.col("n_nationkey").cast("long").alias("node"))
-    return graph.subgraph(edges(spark, sf), nodes)
+    return graph.subgraph(nation_edges(spark, sf), nodes)
 
 
-@query(f"WITH {_EDGES} SELECT src, dst, weight FROM e WHERE src <> dst")
-def edges_without_loops(spark, sf, edges=twin_edges):
-    return graph.without_loops(edges(spark, sf))
+@query(f"WITH {EDGES} SELECT src, dst, weight FROM e WHERE src <> dst")
+def edges_without_loops(spark, sf):
+    return graph.without_loops(nation_edges(spark, sf))
 
 
-@query(f"WITH {_EDGES} SELECT count(*) FILTER (src = dst) AS loops FROM e")
-def self_loops(spark, sf, edges=twin_edges):
-    return graph.has_loops(edges(spark, sf))
+@query(f"WITH {EDGES} SELECT count(*) FILTER (src = dst) AS loops FROM e")
+def self_loops(spark, sf):
+    return graph.has_loops(nation_edges(spark, sf))
 
 
-@query(f"WITH {_EDGES} SELECT (SELECT count(DISTINCT n) FROM (SELECT src AS n FROM e UNION ALL SELECT dst FROM e)) AS nodes, (SELECT count(*) FROM (SELECT DISTINCT least(src, dst), greatest(src, dst) FROM e)) AS edges")
-def graph_order(spark, sf, edges=twin_edges):
-    return graph.graph_size(edges(spark, sf))
+@query(f"WITH {EDGES} SELECT (SELECT count(DISTINCT n) FROM (SELECT src AS n FROM e UNION ALL SELECT dst FROM e)) AS nodes, (SELECT count(*) FROM (SELECT DISTINCT least(src, dst), greatest(src, dst) FROM e)) AS edges")
+def graph_order(spark, sf):
+    return graph.graph_size(nation_edges(spark, sf))
 
 
-@query(f"WITH {_EDGES}, q AS (SELECT CAST(n_nationkey AS BIGINT) AS src, CAST((n_nationkey + 1) % 25 AS BIGINT) AS dst FROM nation) SELECT q.src, q.dst, CASE WHEN e.src IS NULL THEN 0 ELSE 1 END AS present FROM q LEFT JOIN e ON q.src = e.src AND q.dst = e.dst")
-def edge_lookup(spark, sf, edges=twin_edges):
+@query(f"WITH {EDGES}, q AS (SELECT CAST(n_nationkey AS BIGINT) AS src, CAST((n_nationkey + 1) % 25 AS BIGINT) AS dst FROM nation) SELECT q.src, q.dst, CASE WHEN e.src IS NULL THEN 0 ELSE 1 END AS present FROM q LEFT JOIN e ON q.src = e.src AND q.dst = e.dst")
+def edge_lookup(spark, sf):
     pairs = load(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("src"), ((F.col("n_nationkey") + 1) % 25).cast("long").alias("dst"))
-    return graph.has_edges(edges(spark, sf), pairs)
-
-
-def _whole(f):
-    """The query ``f`` over the edges of all order lines, as whole_..., without a twin."""
-
-    def run(spark, sf):
-        return f(spark, sf, nation_edges)
-
-    run.__name__ = f"whole_{f.__name__}"
-    return query()(run)
-
-
-for _f in (undirected_edges, adjacency_list, node_degree, subgraph_edges, edges_without_loops, self_loops, graph_order, edge_lookup):
-    _whole(_f)
+    return graph.has_edges(nation_edges(spark, sf), pairs)
 
 
 @query("SELECT a.i AS src, b.i AS dst, 1.0::DOUBLE AS weight FROM generate_series(0, 11) AS a(i), generate_series(0, 11) AS b(i) WHERE a.i <> b.i")
@@ -115,8 +92,7 @@ def weighted_walks(spark, sf):
 @query()
 def deepwalk_embeddings(spark, sf):
     walks = graph.random_walks(graph.undirected(nation_edges(spark, sf)), passes=4, steps=8)
-    vectors = graph.walk_embeddings(walks, size=16)
-    return vectors.select("node", F.size("vector").alias("size"))
+    return graph.walk_embeddings(walks, size=16)
 
 
 def user_merchant_edges(spark, sf):

@@ -9,28 +9,29 @@ from riskloom.plans.registry import PAYMENTS, finish, finished, finished_all, qu
 from riskloom.sources.tables import actions, load, payments
 
 # ------------------------------------------------------------------- text
-_TERMS = "w AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '\\b\\w\\w+\\b') AS tokens FROM conversations WHERE conv_id % 2 = 0 AND regexp_matches(text, '^[\\x00-\\x7F]*$')), u AS (SELECT conv_id * 1000 + turn AS doc, unnest(tokens) AS term FROM w), c AS (SELECT doc, term, count(*) AS tf FROM u GROUP BY ALL)"
+_TERMS = "w AS (SELECT conv_id, turn, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]{2,}') AS tokens FROM conversations), u AS (SELECT conv_id, turn, unnest(tokens) AS term FROM w), c AS (SELECT conv_id, turn, term, count(*) AS tf FROM u GROUP BY ALL)"
 
 
 def _docs(spark, sf):
-    """The turns that ``_TERMS`` names: even conversations, ASCII texts."""
-    rows = load(spark, sf, "conversations").where(F.rlike("text", F.lit(r"^[\x00-\x7F]*$")) & (F.col("conv_id") % 2 == 0))
-    return rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc"), text.words(F.col("text")).alias("tokens"))
+    """All turns, each under its conversation and number."""
+    rows = load(spark, sf, "conversations")
+    return rows.select(F.struct("conv_id", "turn").alias("doc"), text.words(F.col("text")).alias("tokens"))
 
 
-@query(f"WITH {_TERMS} SELECT doc, term, tf FROM c")
+@query(f"WITH {_TERMS} SELECT conv_id, turn, term, tf FROM c")
 def bow_counts(spark, sf):
-    return text.term_counts(_docs(spark, sf), "doc", "tokens")
+    return text.term_counts(_docs(spark, sf), "doc", "tokens").select("doc.conv_id", "doc.turn", "term", "tf")
 
 
-@query(finished(f"""WITH {_TERMS}, n AS (SELECT count(*) AS n FROM w), d AS (SELECT term, ln((1 + n) / (1.0 + count(*))) + 1 AS idf FROM c, n GROUP BY term, n), x AS (SELECT doc, term, tf * idf AS w FROM c JOIN d USING (term))
- SELECT doc, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc)) AS weight FROM x""", "doc", "term"))
+@query(finished(f"""WITH {_TERMS}, n AS (SELECT count(*) AS n FROM w), d AS (SELECT term, ln((1 + n) / (1.0 + count(*))) + 1 AS idf FROM c, n GROUP BY term, n), x AS (SELECT conv_id, turn, term, tf * idf AS w FROM c JOIN d USING (term))
+ SELECT conv_id, turn, term, w / sqrt(sum(w * w) OVER (PARTITION BY conv_id, turn)) AS weight FROM x""", "conv_id", "turn", "term"))
 def tfidf_l2(spark, sf):
     docs = _docs(spark, sf)
-    return finish(text.tf_idf(text.term_counts(docs, "doc", "tokens"), "doc", docs), "doc", "term")
+    weights = text.tf_idf(text.term_counts(docs, "doc", "tokens"), "doc", docs)
+    return finish(weights.select("doc.conv_id", "doc.turn", "term", "weight"), "conv_id", "turn", "term")
 
 
-@query(f"""WITH {_TERMS}, o AS (SELECT doc, term, row_number() OVER () AS r FROM u), p AS (SELECT conv_id * 1000 + turn AS doc, unnest(list_concat(tokens, list_transform(range(1, len(tokens)), lambda i: tokens[i] || ' ' || tokens[i + 1]))) AS term FROM w), q AS (SELECT DISTINCT doc, term FROM p)
+@query(f"""WITH {_TERMS}, p AS (SELECT conv_id, turn, unnest(list_concat(tokens, list_transform(range(1, len(tokens)), lambda i: tokens[i] || ' ' || tokens[i + 1]))) AS term FROM w), q AS (SELECT DISTINCT conv_id, turn, term FROM p)
  SELECT term, count(*) AS df FROM q GROUP BY term HAVING count(*) >= 5 AND count(*) <= 0.8 * (SELECT count(*) FROM w)""")
 def ngram_df(spark, sf):
     docs = _docs(spark, sf)
@@ -38,43 +39,16 @@ def ngram_df(spark, sf):
     return text.kept_terms(counts, docs.count(), 5, 0.8)
 
 
-def _all_docs(spark, sf):
-    rows = load(spark, sf, "conversations")
-    return rows.select(F.struct("conv_id", "turn").alias("doc"), text.words(F.col("text")).alias("tokens"))
-
-
-@query()
-def whole_bow_counts(spark, sf):
-    """bow_counts over all turns."""
-    return text.term_counts(_all_docs(spark, sf), "doc", "tokens").select("doc.conv_id", "doc.turn", "term", "tf")
-
-
-@query()
-def whole_tfidf_l2(spark, sf):
-    """tfidf_l2 over all turns."""
-    docs = _all_docs(spark, sf)
-    weights = text.tf_idf(text.term_counts(docs, "doc", "tokens"), "doc", docs)
-    return finish(weights.select("doc.conv_id", "doc.turn", "term", "weight"), "conv_id", "turn", "term")
-
-
-@query()
-def whole_ngram_df(spark, sf):
-    """ngram_df over all turns."""
-    docs = _all_docs(spark, sf)
-    counts = text.term_counts(docs, "doc", text.with_pairs(F.col("tokens")))
-    return text.kept_terms(counts, docs.count(), 5, 0.8)
-
-
 @query()
 def w2v_user_features(spark, sf):
-    rows = text.sequence_vectors(actions(spark, sf), "uid", "dev", ["us", "event_id"], size=4)
-    return rows.select("uid", F.col("dev_0_mean").isNotNull().alias("has_vector"))
+    """Mean and skew of each dimension of a user's word vectors."""
+    return text.sequence_vectors(actions(spark, sf), "uid", "dev", ["us", "event_id"], size=4)
 
 
 @query()
 def row2vec_features(spark, sf):
-    rows = text.row_vectors(actions(spark, sf), "uid", ["mode", "dev", "hour"], size=4, iterations=2)
-    return rows.select("uid", "c", F.col("v0_mean").isNotNull().alias("has_vector"))
+    """Four statistics of each dimension of the vectors of a user's values, by column."""
+    return text.row_vectors(actions(spark, sf), "uid", ["mode", "dev", "hour"], size=4, iterations=2)
 
 
 # ------------------------------------------------------------------ rules
@@ -221,6 +195,13 @@ def gbt_cv(spark, sf):
     return learn.out_of_fold(rows, "uid", _COLUMNS, "tag", lambda: learn.boosted(rounds=3, depth=3), 3)[0]
 
 
+@query()
+def gbt_early_stopping(spark, sf):
+    """As gbt_cv, but a fold's rounds end where its own loss no longer falls."""
+    rows = learn.with_folds(_features(spark, sf).fillna(0.0), "uid", "tag", 2)
+    return learn.out_of_fold(rows, "uid", _COLUMNS, "tag", lambda: learn.boosted(rounds=8, depth=2, stop_early=True), 2)[0]
+
+
 @query()
 def topk_importance(spark, sf):
     rows = learn.with_folds(_features(spark, sf).fillna(0.0), "uid", "tag", 2)
@@ -236,8 +217,7 @@ def stacking(spark, sf):
 
 @query()
 def pca_embeddings(spark, sf):
-    rows = learn.principal_components(load(spark, sf, "embeddings"), "vec_id", "embedding", 8)
-    return rows.select("vec_id", F.size("components").alias("size"))
+    return learn.principal_components(load(spark, sf, "embeddings"), "vec_id", "embedding", 8)
 
 
 @query()
