@@ -13,12 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set (tests)."""
+    """The cluster's shared folder; a temporary one where none is set and all
+    runs in one machine (tests).  On a cluster that is an error, as each machine
+    would write a folder of its own."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     current = context._jsc.sc().getCheckpointDir()
     if configured is None and current.isDefined():
         configured = current.get()
+    if configured is None and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     if configured is None:
         configured = "file://" + tempfile.mkdtemp(prefix="riskloom-")
     if not current.isDefined():
