@@ -18,12 +18,13 @@ The work is done once per distinct unit, with no broadcast that grows:
    (tail, head) pairs and distinct words counts all byte contexts.  The block
    writes its words keyed by word hash, its contexts keyed by their two
    latest bytes, and its documents as word numbers (one written table);
-2. words meet by hash for corpus counts;
-3. contexts meet by key in two steps, first those of a lot of blocks, then
-   the lots (about the square root of the blocks in either step, so a frequent
-   pair of bytes does not gather all blocks in one task): subtrees of depth two
-   and more are built there, the two levels above (at most 65,536 nodes) on the
-   driver;
+2. words meet by hash for corpus counts, contexts by key, both in two steps,
+   first those of a lot of blocks, then the lots.  There are about as many lots
+   as the square root of the blocks, however many partitions the session has,
+   so neither step gathers all blocks of a frequent word or pair of bytes in
+   one task; the second holds the distinct contexts of its part;
+3. subtrees of depth two and more are built there, the two levels above (at
+   most 65,536 nodes) on the driver;
 4. counts and probabilities return to the blocks and are summed by document.
 """
 
@@ -261,15 +262,28 @@ def _counts(pdf: pd.DataFrame) -> dict[bytes, int]:
     return total
 
 
+def _merged_words(pdf: pd.DataFrame) -> pd.DataFrame:
+    total = _counts(pdf)
+    out = [(pdf["part"].iloc[0], pdf["lot"].iloc[0], _pack(b" ".join(total)), _pack(np.fromiter(total.values(), "<i8", len(total))))]
+    return pd.DataFrame(out, columns=["part", "lot", "first", "second"])
+
+
 def _totals(pdf: pd.DataFrame) -> pd.DataFrame:
     counts = _counts(pdf).values()
     return pd.DataFrame({"tokens": [sum(counts)], "words": [sum(n > 0 for n in counts)]})
 
 
-def _count_replies(pdf: pd.DataFrame) -> pd.DataFrame:
+def _lot_counts(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Corpus counts of each lot's words, in their order."""
     total = _counts(pdf)
-    values = [_pack(np.fromiter(map(total.__getitem__, _words(blob)), np.int64)) for blob in pdf["first"]]
-    return pd.DataFrame({"block": pdf["block"], "kind": "words", "part": pdf["part"], "value": values})
+    values = [_pack(np.fromiter(map(total.__getitem__, _words(blob)), "<i8")) for blob in pdf["first"]]
+    return pd.DataFrame({"part": pdf["part"], "lot": pdf["lot"], "first": pdf["first"], "second": values})
+
+
+def _count_replies(blocks: pd.DataFrame, lot: pd.DataFrame) -> pd.DataFrame:
+    total = _counts(lot)
+    values = [_pack(np.fromiter(map(total.__getitem__, _words(blob)), "<i8")) for blob in blocks["first"]]
+    return pd.DataFrame({"block": blocks["block"], "kind": "words", "part": blocks["part"], "value": values})
 
 
 # ------------------------------------------------------------- context tree
@@ -461,12 +475,15 @@ def score_corpus(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text
         F.col(text_col).cast("string").cast("binary").alias("text"),
     )
     encoded = materialise(rows.mapInArrow(lambda b: _encode(b, n), _ENCODED), "lm-encoded", "kind")
-    words, keys, texts = (encoded.where(F.col("kind") == k).drop("kind") for k in ("words", "keys", "docs"))
+    texts = encoded.where(F.col("kind") == "docs").drop("kind")
+    lot = F.pmod(F.xxhash64("block"), F.lit(math.isqrt(texts.count()) + 1)).cast("int")
+    words, keys = (encoded.where(F.col("kind") == k).select("block", "part", "first", "second", lot.alias("lot")) for k in ("words", "keys"))
 
-    sums = words.groupBy("part").applyInPandas(_totals, "tokens long, words long").agg(F.sum("tokens"), F.sum("words")).first()
+    merged = "part int, lot int, first binary, second binary"
+    word_lots = materialise(words.groupBy("part", "lot").applyInPandas(_merged_words, merged), "lm-words")
+    sums = word_lots.groupBy("part").applyInPandas(_totals, "tokens long, words long").agg(F.sum("tokens"), F.sum("words")).first()
     tokens, distinct = (x or 0 for x in sums)
-    keys = keys.withColumn("lot", F.pmod(F.xxhash64("block"), F.lit(math.isqrt(n) + 1)).cast("int"))
-    lots = materialise(keys.groupBy("part", "lot").applyInPandas(_merged_lot, "part int, lot int, first binary, second binary"), "lm-keys")
+    lots = materialise(keys.groupBy("part", "lot").applyInPandas(_merged_lot, merged), "lm-keys")
     tops = (
         lots.groupBy("part")
         .applyInPandas(_tops, "node int, zeros double, ones double, product double")
@@ -478,7 +495,8 @@ def score_corpus(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text
 
     reply = "block long, kind string, part int, value binary"
     known = lots.groupBy("part").applyInPandas(lambda p: _lot_probabilities(p, upper), "part int, lot int, first binary, logs binary")
-    replies = words.groupBy("part").applyInPandas(_count_replies, reply).unionByName(
+    counted = word_lots.groupBy("part").applyInPandas(_lot_counts, merged)
+    replies = words.groupBy("part", "lot").cogroup(counted.groupBy("part", "lot")).applyInPandas(_count_replies, reply).unionByName(
         keys.groupBy("part", "lot").cogroup(known.groupBy("part", "lot")).applyInPandas(_probability_replies, reply)
     )
     return (
