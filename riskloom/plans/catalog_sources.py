@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from riskloom.operators import graph
 from riskloom.plans.catalog_graph import EDGES, nation_edges
 from riskloom.plans.registry import query
-from riskloom.sources import files
+from riskloom.sources import files, reports
 from riskloom.sources.storage import fresh_path
 from riskloom.sources.tables import load
 
@@ -86,3 +86,20 @@ def text_line_count(spark, sf):
     path = fresh_path(spark, "lines")
     load(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("value")).write.text(path)
     return files.line_counts(spark, path).agg(F.sum("lines").alias("lines"))
+
+
+@query("SELECT 'Order ' || o_orderkey AS label, CAST(o_totalprice AS DOUBLE) AS value FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50")
+def bar_chart_round_trip(spark, sf):
+    """A chart of the fifty largest orders; its bars hold their values."""
+    path = fresh_path(spark, "bars") + ".svg"
+    rows = load(spark, sf, "orders").select(F.concat(F.lit("Order "), "o_orderkey").alias("label"), F.col("o_totalprice").cast("double").alias("value"), "o_orderkey")
+    reports.write_bars(rows.orderBy(F.desc("value"), "o_orderkey").limit(50), "label", "value", path, "Largest orders")
+    return reports.read_bars(spark, path)
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CASE WHEN n_regionkey > 0 THEN n_regionkey / CAST(7 AS DOUBLE) END AS part FROM nation")
+def sheet_round_trip(spark, sf):
+    path = fresh_path(spark, "sheet") + ".xlsx"
+    part = F.when(F.col("n_regionkey") > 0, F.col("n_regionkey") / F.lit(7.0))
+    reports.write_sheet(load(spark, sf, "nation").select("n_nationkey", "n_name", part.alias("part")), path)
+    return reports.read_sheet(spark, path, {"n_nationkey": "long", "n_name": "string", "part": "double"})

@@ -67,14 +67,18 @@ def read_adjacency(spark: SparkSession, path, checked: bool = True) -> DataFrame
     return rows
 
 
-def read_matrix_graph(spark: SparkSession, path: str, variable: str = "network") -> DataFrame:
-    """(src, dst, weight) of a sparse MATLAB matrix; needs scipy where the driver runs."""
-    try:
-        from scipy.io import loadmat
-    except ImportError as missing:
-        raise RuntimeError("MATLAB files need scipy") from missing
-    m = loadmat(path)[variable].tocoo()
-    return spark.createDataFrame(list(zip(m.row.tolist(), m.col.tolist(), map(float, m.data), strict=True)), "src long, dst long, weight double")
+def read_matrix_graph(spark: SparkSession, path, variable: str = "network", undirected: bool = False) -> DataFrame:
+    """(src, dst, weight) of the numeric matrix ``variable``, sparse or dense,
+    of MATLAB level 5 files; every cell that is not zero is an edge, rows are
+    sources, and numbers start at 0.  Files are read by the tasks, one file in
+    one task; a file without that variable is an error."""
+    from riskloom.sources.matlab import edge_batches
+
+    rows = spark.read.format("binaryFile").load(path).select("path", "content")
+    edges = rows.mapInPandas(edge_batches(variable), "src long, dst long, weight double")
+    if undirected:
+        edges = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+    return edges
 
 
 def read_walks(spark: SparkSession, paths) -> DataFrame:
