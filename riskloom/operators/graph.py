@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -137,29 +138,79 @@ def random_walks(edges: DataFrame, passes: int, steps: int, seed: int = 66, rest
     return parts.select("walk", "pass", "start", F.flatten("parts.nodes").alias("nodes"))
 
 
-def _step(walks: DataFrame, places: DataFrame, ends: DataFrame, weighted: bool, seed: int, step: int, restart: float) -> DataFrame:
-    """The walks with one more node."""
+def _share(own: int, *marks) -> Column:
+    """A number from 0 to 1 by the hash of (own, marks)."""
+    return F.pmod(F.xxhash64(F.lit(own), *marks), F.lit(1 << 30)) / float(1 << 30)
+
 
-    def chance(own: int) -> Column:
-        return F.pmod(F.xxhash64(F.lit(own), "walk", F.lit(step)), F.lit(1 << 30)) / float(1 << 30)
+def _offered(walks: DataFrame, places: DataFrame, ends: DataFrame, weighted: bool, share: Column, own: list[str]) -> DataFrame:
+    """The walks' columns ``own`` and ``at`` with the target ``chosen`` by ``share``; null at a node without edges."""
 
     def place(upto: str, x: Column) -> Column:
         return F.least(F.size(F.filter(upto, lambda c: c <= x)), F.size(upto) - 1)
 
-    own = ["walk", "pass", "start", "nodes"]
-    found = walks.join(ends, "at", "left").withColumn("x", chance(seed) * F.col("total")).withColumn("i", place("ends", F.col("x")))
+    found = walks.join(ends, "at", "left").withColumn("x", share * F.col("total")).withColumn("i", place("ends", F.col("x")))
     before = F.when(F.col("i") > 0, F.get("ends", F.col("i") - 1)).otherwise(0.0)
     found = found.select(*own, "at", F.get("pieces", "i").alias("piece"), (F.col("x") - before).alias("x"))
     if weighted:
         found = found.join(places, ["at", "piece"], "left")
-        chosen = F.get("dst", place("upto", F.col("x")))
-    else:
-        found = found.withColumn("pos", F.floor("x")).join(places, ["at", "piece", "pos"], "left")
-        chosen = F.col("dst")
-    to = F.when(F.col("at").isNotNull(), F.when(chance(seed + 1) < restart, F.col("start")).otherwise(chosen))
+        return found.select(*own, "at", F.get("dst", place("upto", F.col("x"))).alias("chosen"))
+    found = found.withColumn("pos", F.floor("x")).join(places, ["at", "piece", "pos"], "left")
+    return found.select(*own, "at", F.col("dst").alias("chosen"))
+
+
+def _step(walks: DataFrame, places: DataFrame, ends: DataFrame, weighted: bool, seed: int, step: int, restart: float) -> DataFrame:
+    """The walks with one more node."""
+    own = ["walk", "pass", "start", "nodes"]
+    found = _offered(walks, places, ends, weighted, _share(seed, "walk", F.lit(step)), own)
+    back = _share(seed + 1, "walk", F.lit(step)) < restart
+    to = F.when(F.col("at").isNotNull(), F.when(back, F.col("start")).otherwise(F.col("chosen")))
     return found.select(*own, to.alias("at")).withColumn("nodes", F.when(F.col("at").isNotNull(), F.array_append("nodes", F.col("at"))).otherwise(F.col("nodes")))
 
 
+def second_order_walks(edges: DataFrame, passes: int, steps: int, p: float = 1.0, q: float = 1.0, seed: int = 66, weighted: bool = False) -> DataFrame:
+    """(walk, pass, start, nodes) as ``random_walks``, but a step from node b,
+    reached from a, takes each target by its weight times 1/p if it is a, 1 if
+    a has an edge to it, 1/q if not.
+
+    Targets are offered as ``random_walks`` chooses them, and an offer is taken
+    by its factor's share of the largest factor, so no node's targets are
+    listed for a walk.  A job makes as many offers for a walk as are needed on
+    average at most, and the first one taken counts; jobs go on until no walk
+    is left without one.
+    """
+    if p <= 0 or q <= 0:
+        raise ValueError("p and q must be over 0")
+    factors = [1 / p, 1.0, 1 / q]
+    offers = ceil(max(factors) / min(factors))
+    places, ends = _places(edges, weighted)
+    known = materialise(edges.select(F.col("src").alias("prev"), F.col("dst").alias("chosen")).distinct().withColumn("linked", F.lit(True)), "walk-links")
+    starts = edges.select(F.explode(F.array("src", "dst")).alias("start")).distinct()
+    walks = starts.select("start", F.explode(F.sequence(F.lit(1), F.lit(passes))).alias("pass"))
+    own = ["walk", "pass", "start"]
+    walks = walks.select(F.xxhash64("start", "pass").alias("walk"), "pass", "start", F.lit(None).cast("long").alias("prev"), F.col("start").alias("at"))
+    written = [walks.select(*own, F.lit(0).alias("step"), F.col("at").alias("node"))]
+    factor = F.when(F.col("prev").isNull(), max(factors)).when(F.col("chosen") == F.col("prev"), 1 / p).when(F.col("linked"), 1.0).otherwise(1 / q)
+    for step in range(1, steps):
+        left, taken, first = walks, [], 0
+        while True:
+            made = left.withColumn("offer", F.explode(F.sequence(F.lit(first), F.lit(first + offers - 1))))
+            marks = ["walk", F.lit(step), "offer"]
+            made = _offered(made, places, ends, weighted, _share(seed, *marks), [*own, "prev", "offer"]).where("chosen is not null")
+            made = made.join(known, ["prev", "chosen"], "left")
+            good = _share(seed + 1, *marks) * max(factors) < factor
+            made = made.groupBy(*own, "prev", "at").agg(F.min(F.when(good, F.struct("offer", "chosen"))).alias("to"))
+            made = materialise(made.select(*own, "prev", "at", F.col("to.chosen").alias("to")), "walk-offers")
+            taken.append(made.where("to is not null").select(*own, F.col("at").alias("prev"), F.col("to").alias("at")))
+            left, first = made.where("to is null").drop("to"), first + offers
+            if left.isEmpty():
+                break
+        walks = reduce(DataFrame.unionAll, taken)
+        written.append(walks.select(*own, F.lit(step).alias("step"), F.col("at").alias("node")))
+    parts = reduce(DataFrame.unionAll, written).groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("step", "node"))).alias("parts"))
+    return parts.select(*own, F.col("parts.node").alias("nodes"))
+
+
 def walk_embeddings(walks: DataFrame, size: int = 64, window: int = 5, seed: int = 66, iterations: int = 1) -> DataFrame:
     """(node, vector): skip-gram vectors of the nodes from their walks."""
     from pyspark.ml.feature import Word2Vec

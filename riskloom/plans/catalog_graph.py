@@ -89,6 +89,13 @@ def weighted_walks(spark, sf):
     return walks.select("walk", "pass", "start", F.array_join(F.transform("nodes", lambda x: x.cast("string")), " ").alias("nodes"))
 
 
+@query()
+def second_order_walks(spark, sf):
+    """Walks that turn back rarely and stay near the node before."""
+    walks = graph.second_order_walks(graph.undirected(nation_edges(spark, sf)), passes=2, steps=5, p=4.0, q=0.5, weighted=True)
+    return walks.select("walk", "pass", "start", F.array_join(F.transform("nodes", lambda x: x.cast("string")), " ").alias("nodes"))
+
+
 @query()
 def deepwalk_embeddings(spark, sf):
     walks = graph.random_walks(graph.undirected(nation_edges(spark, sf)), passes=4, steps=8)
