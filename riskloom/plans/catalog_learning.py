@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskloom.operators import learn, rules, scores, text
+from riskloom.operators.boosting import NewtonTrees
 from riskloom.plans.registry import PAYMENTS, finish, finished, finished_all, query
 from riskloom.sources.tables import actions, load, payments
 
@@ -202,6 +203,13 @@ def gbt_early_stopping(spark, sf):
     return learn.out_of_fold(rows, "uid", _COLUMNS, "tag", lambda: learn.boosted(rounds=8, depth=2, stop_early=True), 2)[0]
 
 
+@query()
+def gbt_sampled(spark, sf):
+    """Out-of-fold scores of Newton-boosted trees that sample rows by gradient."""
+    rows = learn.with_folds(_features(spark, sf).fillna(0.0), "uid", "tag", 2)
+    return learn.out_of_fold(rows, "uid", _COLUMNS, "tag", lambda: NewtonTrees(rounds=4, depth=3, top=0.2, other=0.1), 2)[0]
+
+
 @query()
 def topk_importance(spark, sf):
     rows = learn.with_folds(_features(spark, sf).fillna(0.0), "uid", "tag", 2)
