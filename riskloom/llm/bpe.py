@@ -15,6 +15,7 @@ import base64
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -28,6 +29,7 @@ from riskloom.llm.common import table
 CACHED_PIECES = 300_000
 CACHED_PREFIXES = 600_000
 CACHED_LENGTH = 48
+CHUNKS_AT_ONCE = 65_536
 
 #: A fixed value: the split pattern that the rank files are made for.
 SPACE_LED = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -175,22 +177,34 @@ class Encoder:
         self.names = {i: str(i) for i in self.vocabulary.bytes_of}
 
     def _short(self, data: bytes) -> tuple[int, ...]:
-        """As ``PrefixTable``, with one table for the prefixes of all pieces."""
+        """As ``PrefixTable``, with one table for the prefixes of all pieces,
+        where only the prefixes that a token's start asks for are entered."""
         vocabulary, last = self.vocabulary, self._last
-        ends, known, base = vocabulary.ends, vocabulary._neighbours, vocabulary.base
-        n = i = len(data)
-        while data[:i] not in last:
-            i -= 1
-        for i in range(i + 1, n + 1):
-            for j in range(i - 1, -1, -1):
-                token = ends[data[j:i]]
-                if token >= 0:
-                    before = last[data[:j]]
-                    follows = known.get(before * base + token)
-                    if follows or follows is None and vocabulary.may_follow(before, token):
-                        last[data[:i]] = token
-                        break
-        out = []
+        ranks, known, base = vocabulary.ranks, vocabulary._neighbours, vocabulary.base
+        asked = [data]
+        while asked:
+            prefix = asked[-1]
+            if prefix in last:
+                asked.pop()
+                continue
+            n = len(prefix)
+            # The one that fits is most often the longest token at the end.
+            for j in range(max(n - vocabulary.longest, 0), n):
+                token = ranks.get(prefix[j:])
+                if token is None:
+                    continue
+                before = last.get(prefix[:j])
+                if before is None:
+                    asked.append(prefix[:j])
+                    break
+                follows = known.get(before * base + token)
+                if follows or follows is None and vocabulary.may_follow(before, token):
+                    last[prefix] = token
+                    asked.pop()
+                    break
+            else:
+                raise ValueError("a byte is not in the vocabulary")
+        out, n = [], len(data)
         while n:
             out.append(token := last[data[:n]])
             n -= len(vocabulary.bytes_of[token])
@@ -219,13 +233,19 @@ class Encoder:
             out += known(piece) or self._piece(piece)
         return out
 
-    def _chunk(self, chunk: str) -> tuple[int, ...]:
-        ids = tuple(self._encode_pieces(" " + chunk))
-        if len(chunk) <= CACHED_LENGTH:
-            if len(self._chunks) >= CACHED_PIECES:
-                self._chunks.clear()
-            self._chunks[chunk] = ids
-        return ids
+    def _add_chunks(self, chunks: list[str], out: list[int]) -> None:
+        """Adds the ids of chunks that each follow a space: each different one is encoded once, then all are looked up."""
+        known = self._chunks
+        new = set(chunks).difference(known)
+        if len(known) + len(new) > CACHED_PIECES:
+            known.clear()
+            new = set(chunks)
+        for chunk in new:
+            known[chunk] = tuple(self._encode_pieces(" " + chunk))
+        out.extend(chain.from_iterable(map(known.__getitem__, chunks)))
+        for chunk in new:
+            if len(chunk) > CACHED_LENGTH:
+                del known[chunk]
 
     def encode(self, text: str) -> list[int]:
         """The ids of a text.
@@ -237,9 +257,8 @@ class Encoder:
             return self._encode_pieces(text)
         chunks = _NARROW_GAP.split(text) if _WIDE_GAP.search(text) else text.split(" ")
         out = self._encode_pieces(chunks[0])
-        known = self._chunks.get
-        for chunk in chunks[1:]:
-            out += known(chunk) or self._chunk(chunk)
+        for at in range(1, len(chunks), CHUNKS_AT_ONCE):
+            self._add_chunks(chunks[at : at + CHUNKS_AT_ONCE], out)
         return out
 
     def decode(self, ids) -> bytes:
