@@ -181,28 +181,25 @@ class Encoder:
         where only the prefixes that a token's start asks for are entered."""
         vocabulary, last = self.vocabulary, self._last
         ranks, known, base = vocabulary.ranks, vocabulary._neighbours, vocabulary.base
-        asked = [data]
-        while asked:
-            prefix = asked[-1]
-            if prefix in last:
-                asked.pop()
-                continue
-            n = len(prefix)
+        waiting: list[tuple[bytes, int]] = []  # a prefix and the start of the token that needs a shorter one first
+        prefix, j = data, max(len(data) - vocabulary.longest, 0)
+        while prefix not in last:
             # The one that fits is most often the longest token at the end.
-            for j in range(max(n - vocabulary.longest, 0), n):
-                token = ranks.get(prefix[j:])
-                if token is None:
-                    continue
-                before = last.get(prefix[:j])
-                if before is None:
-                    asked.append(prefix[:j])
-                    break
+            token = ranks.get(prefix[j:])
+            if token is None:
+                j += 1
+            elif (before := last.get(prefix[:j])) is None:
+                waiting.append((prefix, j))
+                prefix, j = prefix[:j], max(j - vocabulary.longest, 0)
+            else:
                 follows = known.get(before * base + token)
                 if follows or follows is None and vocabulary.may_follow(before, token):
                     last[prefix] = token
-                    asked.pop()
-                    break
-            else:
+                    if waiting:
+                        prefix, j = waiting.pop()
+                else:
+                    j += 1
+            if j >= len(prefix):
                 raise ValueError("a byte is not in the vocabulary")
         out, n = [], len(data)
         while n:
@@ -212,15 +209,18 @@ class Encoder:
             self._last = {b"": -1}
         return tuple(reversed(out))
 
-    def _piece(self, piece: str) -> tuple[int, ...]:
+    def _ids(self, piece: str) -> tuple[int, ...]:
         data = piece.encode()
         token = self.vocabulary.ranks.get(data)
         if token is not None:
-            ids = (token,)
-        elif len(data) > CACHED_LENGTH:
+            return (token,)
+        if len(data) > CACHED_LENGTH:
             return tuple(PrefixTable(self.vocabulary, data).ids())
-        else:
-            ids = self._short(data)
+        return self._short(data)
+
+    def _piece(self, piece: str) -> tuple[int, ...]:
+        """The ids of a piece that is not in ``_known``; one led by a space may stand among the chunks."""
+        ids = (piece[0] == " " and self._chunks.get(piece[1:])) or self._ids(piece)
         if len(self._known) >= CACHED_PIECES:
             self._known.clear()
         self._known[piece] = ids
@@ -233,6 +233,14 @@ class Encoder:
             out += known(piece) or self._piece(piece)
         return out
 
+    def _chunk(self, text: str) -> tuple[int, ...]:
+        """The ids of a chunk with its space; one that is a piece is not kept among the pieces too."""
+        pieces = self.pieces(text)
+        known = self._known.get
+        if len(pieces) == 1:
+            return known(text) or self._ids(text)
+        return tuple(chain.from_iterable([known(piece) or self._piece(piece) for piece in pieces]))
+
     def _add_chunks(self, chunks: list[str], out: list[int]) -> None:
         """Adds the ids of chunks that each follow a space: each different one is encoded once, then all are looked up."""
         known = self._chunks
@@ -241,7 +249,7 @@ class Encoder:
             known.clear()
             new = set(chunks)
         for chunk in new:
-            known[chunk] = tuple(self._encode_pieces(" " + chunk))
+            known[chunk] = self._chunk(" " + chunk)
         out.extend(chain.from_iterable(map(known.__getitem__, chunks)))
         for chunk in new:
             if len(chunk) > CACHED_LENGTH:
