@@ -37,7 +37,8 @@ MIN_Z = 3.0
 MIN_TOXIC_DOCUMENTS = 3
 DRIFT = 1.0
 SIGNIFICANT = 0.01
-REMEMBERED = 400_000
+REMEMBERED = 100_000
+ROWS_AT_ONCE = 512
 EVIDENCE = 50.0
 RIDGE = 1e-3
 THRESHOLD = 0.7
@@ -291,16 +292,18 @@ def op6_toxicity(spark, sf_dir: str) -> DataFrame:
 def keep_rows(docs: DataFrame, keep, text_col: str = "text") -> DataFrame:
     """The rows whose texts ``keep()`` accepts, with all their columns; a narrow map.
 
-    ``keep()`` gives a function from the texts (bytes or None) of a batch to
-    one truth value each.
+    ``keep()`` gives a function from the texts (bytes or None) of some rows,
+    ``ROWS_AT_ONCE`` at most, to one truth value each.
     """
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         test = keep()
         for batch in batches:
-            texts = batch.column(place).cast(pa.binary()).to_pylist()
-            yield batch.filter(pa.array(test(texts), pa.bool_()))
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                rows = batch.slice(at, ROWS_AT_ONCE)
+                texts = rows.column(place).cast(pa.binary()).to_pylist()
+                yield rows.filter(pa.array(test(texts), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
