@@ -47,3 +47,19 @@ def test_walks_leave_only_links_on_disk(spark):
     before = size()
     walks = graph.random_walks(edges, 80, 50)
     assert walks.selectExpr("sum(size(nodes))").first()[0] == 200_000 and size() - before < 40_000
+
+
+def test_vectors_of_several_tasks_tell_cliques_apart(spark, monkeypatch):
+    """One task for each 1,000 nodes of walks, four cores: every task's vectors count."""
+    from pyspark.ml.feature import Word2Vec
+
+    made, fit = [], Word2Vec._fit
+    monkeypatch.setattr(Word2Vec, "_fit", lambda self, rows: made.append(self.getNumPartitions()) or fit(self, rows))
+    monkeypatch.setattr(graph, "LEARNT", 1000)
+    pairs = [(a, b, 1.0) for k in (0, 100) for a in range(k, k + 8) for b in range(k, k + 8) if a != b]
+    walks = graph.random_walks(spark.createDataFrame(pairs, "src long, dst long, weight double"), 40, 10)
+    vectors = {int(r["node"]): np.array(r["vector"]) for r in graph.walk_embeddings(walks, 8, 3, iterations=12).collect()}
+    unit = {n: v / np.linalg.norm(v) for n, v in vectors.items()}
+    assert made == [4] and len(unit) == 16
+    near = np.mean([unit[a] @ unit[b] for a, b, _ in pairs])
+    assert near > np.mean([unit[a] @ unit[b + 100] for a in range(8) for b in range(8)]) + 0.3
