@@ -12,9 +12,11 @@ template) would give two to the power of their number of equal sets.  So
 mining sees classes of tokens that stand in the same rows, one item each;
 tokens of too few bad rows, and tokens of all rows, are no items; a class that
 is a rule by itself is none either, as a larger set with it blocks nothing
-more.  Of what is left a row shows its ``MOST`` classes with the largest bad
-shares; every rule found is counted again over whole rows.  No verdict is lost
-by this while no row has more than ``MOST`` undecided classes.
+more.  Of what is left FP-growth sees a row's ``MOST`` classes with the largest
+bad shares.  That counts in full each set that no row with more classes holds;
+the sets that such a long row holds are searched by levels over whole rows
+instead, where only free sets grow: those that fewer rows hold than each of
+their subsets, as a rule has the rows of a free set in it.
 """
 
 from __future__ import annotations
@@ -108,13 +110,43 @@ def _holding(sets: DataFrame, rules: DataFrame, *keep: str) -> DataFrame:
     return anchored.where(F.size(F.array_except("antecedent", "classes")) == 0)
 
 
+def _rest(sets: DataFrame, known: DataFrame, longest: int, least: float, min_rows: int) -> DataFrame:
+    """(antecedent): the smallest rules of two classes or more that rows with
+    more than ``MOST`` classes hold, counted over all rows."""
+    alike = sets.groupBy(F.array_sort("classes").alias("classes")).agg(F.count("*").alias("n"), F.count_if("bad").alias("n_bad"))
+    shapes = materialise(alike.select(F.monotonically_increasing_id().alias("shape"), "classes", "n", "n_bad", (F.size("classes") > MOST).alias("long")), "url-shapes")
+    first = known.select(F.col("class").alias("last"), "n").distinct()
+    seen = shapes.where("long").select(F.explode("classes").alias("last")).distinct()
+    open_sets = materialise(first.join(seen, "last", "left_semi").select(F.array("last").alias("set"), "n"), "url-open")
+    held = shapes.select("shape", "n", "n_bad", "long", F.explode("classes").alias("last")).withColumn("set", F.array("last"))
+    rules = None
+    for size in range(2, longest + 1):
+        own = ["shape", "n", "n_bad", "long"]
+        held = held.join(broadcast_if_small(open_sets.select("set")), "set", "left_semi")
+        groups = held.groupBy(*own, F.slice("set", 1, size - 2).alias("prefix")).agg(F.array_sort(F.collect_list(F.element_at("set", -1))).alias("lasts"))
+        one = groups.where(F.size("lasts") > 1).select(*own, "prefix", "lasts", F.posexplode("lasts").alias("i", "one"))
+        two = one.select(*own, F.array_append("prefix", F.col("one")).alias("prefix"), F.explode(F.expr("slice(lasts, i + 2, size(lasts))")).alias("last"))
+        held = materialise(two.select(*own, F.array_append("prefix", F.col("last")).alias("set")), "url-held")
+        counted = held.groupBy("set").agg(F.sum("n").alias("n"), F.sum("n_bad").alias("n_bad"), F.bool_or("long").alias("long")).where((F.col("n_bad") >= min_rows) & F.col("long"))
+        subset = F.explode(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.filter("set", lambda _, j: j != i))).alias("subset")
+        within = counted.select("set", "n", "n_bad", subset).join(open_sets.select(F.col("set").alias("subset"), F.col("n").alias("more")), "subset")
+        free = within.groupBy("set", "n", "n_bad").agg(F.count("*").alias("subsets"), F.min("more").alias("more")).where((F.col("subsets") == size) & (F.col("n") < F.col("more")))
+        free = materialise(free.select("set", "n", (F.col("n_bad") / F.col("n") >= least).alias("rule")), "url-free")
+        found = free.where("rule").select(F.col("set").alias("antecedent"))
+        rules = found if rules is None else rules.unionAll(found)
+        open_sets = free.where("NOT rule").select("set", "n")
+        if open_sets.isEmpty():
+            break
+    return rules
+
+
 def _larger_rules(taught: DataFrame, known: DataFrame, least: float, min_rows: int) -> DataFrame:
     """Rules of two classes or more, none of which holds another."""
     share = known.select("token", "class", (F.col("n_bad") / F.col("n")).alias("share"))
     exploded = taught.select("row", "bad", F.explode("tokens").alias("token")).join(broadcast_if_small(share), "token")
     ranked = exploded.groupBy("row", "bad").agg(F.array_sort(F.collect_set(F.struct((-F.col("share")).alias("order"), "class"))).alias("ranked"))
     sets = materialise(ranked.where(F.size("ranked") > 1).select("bad", F.transform("ranked", lambda x: x["class"]).alias("classes")), "url-sets")
-    n = sets.count()
+    n, longest = sets.agg(F.count("*"), F.max(F.size("classes"))).first()
     if not n:
         return taught.sparkSession.createDataFrame([], _RULE)
     shown = F.slice("classes", 1, MOST)
@@ -124,7 +156,15 @@ def _larger_rules(taught: DataFrame, known: DataFrame, least: float, min_rows: i
     found = model.associationRules.where((F.element_at("consequent", 1) == BAD) & (F.size("antecedent") > 1)).select(F.array_sort("antecedent").alias("antecedent"))
     often = known.select(F.col("class").alias("anchor"), "n").distinct()
     rarest = F.min_by("anchor", F.struct("n", "anchor")).alias("anchor")
-    rules = materialise(found.withColumn("anchor", F.explode("antecedent")).join(broadcast_if_small(often), "anchor").groupBy("antecedent").agg(rarest), "url-candidates")
+
+    def anchored(rules: DataFrame) -> DataFrame:
+        return materialise(rules.withColumn("anchor", F.explode("antecedent")).join(broadcast_if_small(often), "anchor").groupBy("antecedent").agg(rarest), "url-candidates")
+
+    rules = anchored(found)
+    if longest > MOST:
+        unsure = _holding(sets.where(F.size("classes") > MOST).select("classes").distinct(), rules).select("antecedent").distinct()
+        sure = rules.join(unsure, "antecedent", "left_anti").select("antecedent")
+        rules = anchored(sure.unionAll(_rest(sets, known, longest, least, min_rows)))
     within = _holding(rules.select(F.col("antecedent").alias("classes")), rules).where(F.size("antecedent") < F.size("classes"))
     smallest = materialise(rules.join(within.select(F.col("classes").alias("antecedent")).distinct(), "antecedent", "left_anti"), "url-smallest")
     counted = _holding(sets, smallest, "bad").groupBy("antecedent", "anchor").agg(F.count("*").alias("n"), F.count_if("bad").alias("support"))
